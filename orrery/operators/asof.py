@@ -55,7 +55,7 @@ def asof_join(events: DataFrame, changes: DataFrame, *, entity: str, event_at: s
     span = events.agg(F.min(event_at).alias("a"), F.max(event_at).alias("b")).first()
     known = validity_intervals(changes, change_entity, change_at, share, least)
     if span["a"] is None:
-        return events.join(known.select(F.col("from_us").alias("known_at")).limit(0), F.lit(False))
+        return events.withColumn("known_at", F.lit(None).cast("bigint"))
     rest = (
         known.withColumns({"lo": F.greatest("from_us", F.lit(span["a"]).cast("bigint")), "hi": F.least(F.coalesce(F.col("to_us") - 1, F.lit(span["b"]).cast("bigint")), F.lit(span["b"]).cast("bigint"))})
         .filter("lo <= hi")
@@ -78,8 +78,8 @@ def asof_join(events: DataFrame, changes: DataFrame, *, entity: str, event_at: s
             marks = crowded.select(F.col("entity").alias("__entity"), F.col("bucket").alias("__crowded"))
             same = (F.col(entity) == F.col("__entity")) & (F.col("__bucket") == F.col("__crowded"))
             rest_events, here = here.join(marks, same, "left_semi").drop("__bucket"), here.join(marks, same, "left_anti")
-        side = at.select(F.col("entity").alias("__entity"), F.col("bucket").alias("__b"), F.col("from_us").alias("known_at"), "lo", "hi")
-        inside = (F.col(entity) == F.col("__entity")) & (F.col("__bucket") == F.col("__b")) & (F.col(event_at) >= F.col("lo")) & (F.col(event_at) < F.col("hi") + 1)
+        side = at.select(F.col("entity").alias("__entity"), F.col("bucket").alias("__b"), F.col("from_us").alias("known_at"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+        inside = (F.col(entity) == F.col("__entity")) & (F.col("__bucket") == F.col("__b")) & (F.col(event_at) >= F.col("__lo")) & (F.col(event_at) < F.col("__hi") + 1)
         parts.append(here.join(side, inside).select(*[here[c] for c in events.columns], "known_at"))
         if crowded is None:
             break

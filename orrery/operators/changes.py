@@ -11,8 +11,8 @@ from orrery.operators.hot import LEAST, SHARE, neighbours, split_hot
 def apply_changes(feed: DataFrame, *, key: str, order: list[str], deleted: str, image: list[str], base: DataFrame | None = None, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """The rows that exist after all changes: (key, image columns).
 
-    ``feed`` has one row per change: ``key``, the ``order`` columns in which changes truly happened (the first a BIGINT
-    without NULLs), the BOOLEAN ``deleted`` and the ``image`` columns after the change. ``base`` (key, image) is the
+    ``feed`` has one row per change: ``key``, the ``order`` columns in which changes truly happened (the first a BIGINT; NULL is
+    before all), the BOOLEAN ``deleted`` and the ``image`` columns after the change. ``base`` (key, image) is the
     table before the feed, each key once; its rows count as changes before all others.
 
     Repeated changes (equal key and order) count once; should their images differ, the largest counts. Every
@@ -24,7 +24,8 @@ def apply_changes(feed: DataFrame, *, key: str, order: list[str], deleted: str,
     share of the feed are cut into consecutive pieces first, whose sums are added up.
     """
     after = F.when(~F.col(deleted), F.struct(*image))
-    rows = feed.filter(F.col(key).isNotNull()).select(key, *[F.col(c) for c in order], after.alias("after"), F.lit(1).alias("later"))
+    first_order = F.coalesce(F.col(order[0]), F.lit(1 - 2**63).cast("bigint")).alias(order[0])
+    rows = feed.filter(F.col(key).isNotNull()).select(key, first_order, *order[1:], after.alias("after"), F.lit(1).alias("later"))
     if base is not None:
         first = [F.lit(None).cast(feed.schema[c].dataType).alias(c) for c in order[1:]]
         start = base.filter(F.col(key).isNotNull()).select(key, F.lit(-(2**63)).cast("bigint").alias(order[0]), *first, F.struct(*image).alias("after"), F.lit(0).alias("later"))

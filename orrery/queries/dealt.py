@@ -142,7 +142,7 @@ def _spans(spark, folder) -> DataFrame:
 
 
 @query("p5_found", f"""
-WITH s AS ({_SQL_SPANS}),
+WITH s AS (SELECT DISTINCT surrogate_key, field, a, b FROM ({_SQL_SPANS})),
 n AS (SELECT surrogate_key, field, a, b, max(b) OVER (PARTITION BY surrogate_key, field ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
 g AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY surrogate_key, field ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM n),
 p AS (SELECT surrogate_key, field, min(a) AS from_us, max(b) AS to_us FROM g GROUP BY surrogate_key, field, island),

@@ -44,7 +44,7 @@ def _sized(spark, folder) -> DataFrame:
     return with_tokens(rows, ["doc_id", "members"])
 
 
-_SIZES = """WITH d AS (SELECT lower(trim(source)) AS source, len(list_filter(string_split_regex(trim(text), '\\s+'), x -> x <> '')) AS n FROM documents WHERE source IS NOT NULL),
+_SIZES = """WITH d AS (SELECT lower(trim(source)) AS source, len(list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '')) AS n FROM documents WHERE source IS NOT NULL),
 t AS (SELECT lower(trim(source)) AS source, weight, max_repeats FROM mix_targets),
 s AS (SELECT t.source, weight, max_repeats, coalesce(sum(n), 0) AS size FROM t LEFT JOIN d ON d.source = t.source GROUP BY ALL)
 """
@@ -60,7 +60,7 @@ def p9_found(spark, folder) -> DataFrame:
 def p9_shares(spark, folder) -> DataFrame:
     """Per source the target and the share reached, in tokens."""
     report = mixture_report(_sized(spark, folder), "members", read_targets(_table(spark, folder, "mix_targets")))
-    rows = [(r["source"], r["size"], r["quota"], r["taken"], r["target_share"], r["actual_share"], r["reached"]) for r in report]
+    rows = [(r["source"], r["size"], float(r["quota"]), float(r["taken"]), r["target_share"], float(r["actual_share"]), r["reached"]) for r in report]
     return spark.createDataFrame(rows, "source string, size bigint, quota double, taken double, target_share double, actual_share double, reached boolean")
 
 

@@ -41,3 +41,10 @@ def stamp_us(stamp: Column) -> Column:
     seconds = (F.hour(stamp) * 3600 + F.minute(stamp) * 60).cast("bigint")
     fraction = (F.extract(F.lit("SECOND"), stamp) * 1000000).cast("bigint")
     return (day * 86400 + seconds) * 1000000 + fraction
+
+
+def ntz_of_us(us: Column) -> Column:
+    """The TIMESTAMP_NTZ (UTC) of microseconds since 1970, whatever the session's zone."""
+    days = F.floor(us / 86400000000).cast("int")
+    rest = (us - days.cast("bigint") * 86400000000).cast("decimal(18,0)") / F.lit(1000000).cast("decimal(10,0)")
+    return F.date_add(F.lit("1970-01-01").cast("date"), days).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), rest.cast("decimal(18,6)"))

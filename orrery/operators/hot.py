@@ -96,15 +96,15 @@ def neighbours(df: DataFrame, split: Split, order: list[str], lead: dict[str, st
     across = Window.partitionBy(*split.keys).orderBy(CHUNK)  # at most 1000 rows a key
     edges = (
         hot_rows.groupBy(*split.parts)
-        .agg(F.min_by(image, at).alias("__first"), F.max_by(image, at).alias("__last"))
-        .select(*[F.col(p).alias(f"__e_{p}") for p in split.parts], F.lead("__first").over(across).alias("__next"), F.lag("__last").over(across).alias("__prev"))
+        .agg(F.min_by(image, at).alias("__orrery_first"), F.max_by(image, at).alias("__orrery_last"))
+        .select(*[F.col(p).alias(f"__e_{p}") for p in split.parts], F.lead("__orrery_first").over(across).alias("__orrery_next"), F.lag("__orrery_last").over(across).alias("__orrery_prev"))
     )
     same = None
     for p in split.parts:
         equal = F.col(p).eqNullSafe(F.col(f"__e_{p}"))
         same = equal if same is None else same & equal
-    marked = df.withColumns(inside | {"__is_last": F.lead(F.lit(1)).over(w).isNull(), "__is_first": F.lag(F.lit(1)).over(w).isNull()})
+    marked = df.withColumns(inside | {"__orrery_is_last": F.lead(F.lit(1)).over(w).isNull(), "__orrery_is_first": F.lag(F.lit(1)).over(w).isNull()})
     joined = marked.join(F.broadcast(edges), same, "left")
-    fixed = {n: F.when(F.col("__is_last"), F.col(f"__next.{c}")).otherwise(F.col(n)) for n, c in lead.items()}
-    fixed |= {n: F.when(F.col("__is_first"), F.col(f"__prev.{c}")).otherwise(F.col(n)) for n, c in lag.items()}
+    fixed = {n: F.when(F.col("__orrery_is_last"), F.col(f"__orrery_next.{c}")).otherwise(F.col(n)) for n, c in lead.items()}
+    fixed |= {n: F.when(F.col("__orrery_is_first"), F.col(f"__orrery_prev.{c}")).otherwise(F.col(n)) for n, c in lag.items()}
     return joined.withColumns(fixed).select(*df.columns, *inside)

@@ -106,7 +106,7 @@ def versioned_merge(target: DataFrame, source: DataFrame, keys: Sequence[str], *
 
     versions, rest = target.join(touched, on(target), "left_semi"), target.join(touched, on(target), "left_anti")
     if full_snapshot:
-        ends = F.col("__is_current") & ~F.col("__is_skeleton") & (F.col(sk) >= 0 if strategy == "portable" else ~F.col(sk).isin(*MEMBERS))
+        ends = F.col("__is_current") & ~F.col("__is_skeleton") & ~F.col(sk).isin(*MEMBERS)
         when = as_of if as_of is not None else F.current_timestamp()
         kind = target.schema["__valid_to"].dataType
         rest = rest.withColumns({"__valid_to": F.when(ends, when.cast(kind)).otherwise(F.col("__valid_to")), "__is_deleted": F.col("__is_deleted") | ends, "__is_current": F.col("__is_current") & ~ends})

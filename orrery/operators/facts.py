@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions.keys import MEMBERS, VALID_TO, business_key_hash, business_key_json, placeholder, reserved_member, surrogate_key
+from orrery.functions.keys import MEMBERS, VALID_TO, business_key_hash, business_key_json, dual_keys, placeholder, reserved_member, surrogate_key
 from orrery.operators.feed import full_outer
 from orrery.operators.dimensions import SYSTEM
 
@@ -82,10 +82,15 @@ def missing_members(facts: DataFrame, dimension: DataFrame, natural: dict[str, s
     return candidates.join(side, on, "left_anti")
 
 
-def skeletons(missing: DataFrame, dimension: DataFrame, natural: Sequence[str], sk: str, *, strategy: str = "xxhash64", versioned: bool = True) -> DataFrame:
-    """One inferred member per missing identity, as rows of the dimension: typed placeholders, current, valid from its first event on."""
-    key = surrogate_key(list(natural), "__first" if versioned else None, strategy)
-    fixed = {sk: key, "__valid_from": F.col("__first"), "__valid_to": F.lit(VALID_TO), "__is_current": F.lit(True), "__is_deleted": F.lit(False), "__is_skeleton": F.lit(True), "__member_status": F.lit("NOT_YET_AVAILABLE"), "__key_origin": F.lit("skeleton"), "hashdiff": F.lit(None)}
+def skeletons(missing: DataFrame, dimension: DataFrame, natural: Sequence[str], sk: str, *, strategy: str = "xxhash64", versioned: bool = True, durable: str = "durable_key") -> DataFrame:
+    """One inferred member per missing identity, as rows of the dimension: typed placeholders, current, valid from its first event on. Dual-key dimensions get both keys and their fingerprints."""
+    key, dual = surrogate_key(list(natural), "__first" if versioned else None, strategy), {}
+    if "row_fingerprint" in dimension.columns:
+        first = missing.withColumn("__first", F.col("__first").cast(dimension.schema["__valid_from"].dataType))
+        missing, made = first, dual_keys(list(natural), "__first", strategy)
+        key = made["row_key"]
+        dual = {durable: made["durable_key"], "durable_fingerprint": made["durable_fingerprint"], "row_fingerprint": made["row_fingerprint"]}
+    fixed = dual | {sk: key, "__valid_from": F.col("__first"), "__valid_to": F.lit(VALID_TO), "__is_current": F.lit(True), "__is_deleted": F.lit(False), "__is_skeleton": F.lit(True), "__member_status": F.lit("NOT_YET_AVAILABLE"), "__key_origin": F.lit("skeleton"), "hashdiff": F.lit(None)}
     columns = []
     for f in dimension.schema:
         value = F.col(f.name) if f.name in natural else fixed.get(f.name)

@@ -14,6 +14,7 @@ from orrery.operators import quality as dq
 from orrery.operators.history import loose, merge_history
 from orrery.queries import query, table
 from orrery.queries.dealt import _sql_loose, sql_us
+from orrery.runtime import fresh_path
 
 #: Where the queries cut the tables' history into what was there and what arrives.
 CUT = "2024-06-01 00:00:00"
@@ -711,3 +712,90 @@ def temporal_state_merge(spark, folder) -> DataFrame:
     part = lambda rows: dq.latest_per_key(rows, ["order_id"], "at", "_commit_version")
     state = dq.merged_state(part(feed.filter(early)), part(feed.filter(~early)), ["order_id"])
     return state.select("order_id", F.col("max_event").alias("max_event_us"), "max_version")
+
+
+# ---------------------------------------------------------------- storage, control and streams
+
+
+def _landed(spark, folder, name: str) -> tuple[object, DataFrame]:
+    """A versioned table in shared storage with the customers as the loads until the cut, then all loads, left them."""
+    from orrery.sources.versioned import VersionedTable
+
+    first, last = _day(spark, folder, True), _day(spark, folder, False)
+    table_ = VersionedTable(spark, fresh_path(spark, name)).create(first.schema)
+    table_.commit(first, append=True)
+    merged = dim.overwrite_merge(table_.snapshot(), last, ["customer_id"])
+    kind = F.when(F.col("__action") == "update", "update_postimage").otherwise(F.col("__action"))
+    feed = merged.filter("__action <> 'keep'").withColumn("_change_type", kind)
+    table_.commit(dim.applied(merged).drop("__is_deleted"), feed)
+    return table_, last
+
+
+@query("scan_full", f"WITH {_CUST} SELECT customer_id, email, address FROM day2")
+def scan_full(spark, folder) -> DataFrame:
+    return _landed(spark, folder, "scan")[0].snapshot().select("customer_id", "email", "address")
+
+
+@query("scan_time_travel", f"WITH {_CUST} SELECT customer_id, email, address FROM day1")
+def scan_time_travel(spark, folder) -> DataFrame:
+    return _landed(spark, folder, "travel")[0].snapshot(1).select("customer_id", "email", "address")
+
+
+@query("scan_cdf", f"""WITH {_CUST} SELECT d2.customer_id, CASE WHEN d1.customer_id IS NULL THEN 'insert' ELSE 'update_postimage' END AS change_type, 2 AS version FROM day2 d2 LEFT JOIN day1 d1 ON d1.customer_id = d2.customer_id
+WHERE d1.customer_id IS NULL OR d1.email IS DISTINCT FROM d2.email OR d1.address IS DISTINCT FROM d2.address""")
+def scan_cdf(spark, folder) -> DataFrame:
+    rows = fd.changes_between(_landed(spark, folder, "cdf")[0].changes(2, 2), 2)
+    return rows.select("customer_id", F.col("_change_type").alias("change_type"), F.col("_commit_version").alias("version"))
+
+
+@query("scan_append", f"WITH {_CUST} SELECT customer_id, email, address FROM day1")
+def scan_append(spark, folder) -> DataFrame:
+    return fd.append_rows(_landed(spark, folder, "append")[0].changes(1, 1)).select("customer_id", "email", "address")
+
+
+@query("sink_system_columns", "SELECT CAST(k AS BIGINT) AS sk, s AS member_status FROM (VALUES (-1, 'MISSING'), (-2, 'NOT_APPLICABLE'), (-3, 'NOT_YET_AVAILABLE'), (-4, 'BAD_VALUE')) t(k, s)")
+def sink_system_columns(spark, folder) -> DataFrame:
+    empty = dim.empty_versions(_versions(spark, folder), ["customer_id"], ["address", "email"], "eff").withColumn("__member_status", F.lit("x"))
+    return dim.default_members(spark, empty.schema, "sk").select("sk", F.col("__member_status").alias("member_status"))
+
+
+@query("control_table_progress", """WITH i AS (SELECT lower(trim(replace(target_table, '`', ''))) AS t, lower(trim(replace(source_table, '`', ''))) AS s, batch_id, updated_at, batch_completed_at, upper(trim(batch_status)) AS st, last_processed_version AS v FROM etl_control),
+b AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY t, s, batch_id ORDER BY updated_at DESC, batch_completed_at IS NOT NULL DESC) = 1),
+w AS (SELECT t, s, v FROM b WHERE st = 'SUCCESS' QUALIFY row_number() OVER (PARTITION BY t, s ORDER BY updated_at DESC) = 1)
+SELECT DISTINCT b.t AS target_table, b.s AS source_table, w.v AS watermark FROM b LEFT JOIN w ON w.t = b.t AND w.s = b.s""")
+def control_table_progress(spark, folder) -> DataFrame:
+    from orrery.operators.incremental import watermarks
+
+    return watermarks(table(spark, folder, "etl_control"))
+
+
+def _streamed(spark, folder, per_version: bool) -> DataFrame:
+    from orrery.plans.config import TableSpec
+    from orrery.plans.pipeline import Warehouse
+    from orrery.streaming.feeds import run_stream
+
+    warehouse = Warehouse(spark, fresh_path(spark, "streamed"), strategy="portable")
+    source = warehouse.table("customers")
+    rows = _versions(spark, folder).select("customer_id", "email", "address", "eff")
+    source.create(rows.schema)
+    source.commit(rows.filter(F.col("eff") < F.lit(CUT).cast("timestamp_ntz")), append=True)
+    source.commit(rows.filter(F.col("eff") >= F.lit(CUT).cast("timestamp_ntz")), append=True)
+    spec = TableSpec(
+        table_name="dim_customer", table_type="dimension", scd_type=2, surrogate_key="sk", natural_keys=["customer_id"], effective_at="eff", track_history_columns=["address", "email"],
+        sources=[{"name": "customers", "cdc_strategy": "cdf", "primary_keys": ["customer_id", "eff"], "streaming": True}],
+    )
+    summary = run_stream(warehouse, spec, per_version=per_version)
+    if summary.errors:
+        raise RuntimeError(summary.errors[0])
+    return _shown(warehouse.table("dim_customer").snapshot().filter("sk NOT IN (-1, -2, -3, -4)"))
+
+
+@query("stream_final_state", f"{_ONCE}, {_CHAIN} {_SHOW}")
+def stream_final_state(spark, folder) -> DataFrame:
+    """The dimension after its change feed was streamed: what one batch gives."""
+    return _streamed(spark, folder, False)
+
+
+@query("stream_per_version", f"{_ONCE}, {_CHAIN} {_SHOW}")
+def stream_per_version(spark, folder) -> DataFrame:
+    return _streamed(spark, folder, True)

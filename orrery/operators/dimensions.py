@@ -12,6 +12,7 @@ from orrery.functions.keys import MEMBERS, NULL_JUNK, STATUS, VALID_FROM, VALID_
 from orrery.functions.times import stamp_us
 from orrery.operators.feed import META, dedup_upsert_wins, evolve, full_outer
 from orrery.operators.hot import LEAST, SHARE, neighbours, split_hot
+from orrery.runtime import cut
 
 SYSTEM = ("__valid_from", "__valid_to", "__is_current", "__is_deleted", "__is_skeleton", "hashdiff")
 
@@ -87,15 +88,17 @@ def versioned_merge(target: DataFrame, source: DataFrame, keys: Sequence[str], *
     one batch give the same table as one after the other, and replays change nothing. A late row splits the interval it falls into; existing versions
     keep their key and stay, even where a late row makes one a repeat.
 
-    A skeleton is filled in place by its key's earliest incoming row: key and start stay. With ``full_snapshot`` the current versions (not skeletons and reserved members) of keys
+    A skeleton is filled in place by the incoming row in force at its start, else the next one: key and start stay. With ``full_snapshot`` the current versions (not skeletons and reserved members) of keys
     that the source lacks end at ``as_of`` as deleted. Rows with NULL ``at`` are left out; NULL keys are a key. Keys that no row touches pass through unread.
     """
     attributes = list(attributes or tracked)
     version = F.coalesce(F.col("_commit_version"), F.lit(-1)).cast("bigint") if "_commit_version" in source.columns else F.lit(0).cast("bigint")
+    kind = target.schema["__valid_to"].dataType
     incoming = source.filter(F.col(at).isNotNull()).select(
-        *keys, F.col(at).alias("__valid_from"), moment_us(source, at).alias("__us"), version.alias("__v"), _is_delete(source).alias("__gone"), F.struct(*attributes).alias("__a"), hashdiff(tracked, strategy).alias("hashdiff")
-    )
-    incoming = incoming.groupBy(*keys, "__valid_from", "__us").agg(F.max_by(F.struct("__gone", "__a", "hashdiff"), F.struct("__v", "__gone", "hashdiff")).alias("m"), F.max("__v").alias("__v")).select(*keys, "__valid_from", "__us", "__v", "m.*")
+        *keys, F.col(at).alias("__valid_from"), moment_us(source, at).alias("__us"), version.alias("__v"), _is_delete(source).alias("__gone"), F.struct(*attributes).alias("__a"), hashdiff(tracked, strategy).alias("hashdiff"),
+        F.lit(None).cast("bigint").alias("__sk"), F.lit(False).alias("__sx"), F.lit(None).cast(kind).alias("__ended"),
+    )
+    incoming = cut(incoming, "incoming")  # used three times; the source may be long to compute
     touched = incoming.select(*[F.col(k).alias(f"__k_{k}") for k in keys]).distinct()
 
     def on(df: DataFrame) -> Column:
@@ -108,37 +111,34 @@ def versioned_merge(target: DataFrame, source: DataFrame, keys: Sequence[str], *
     if full_snapshot:
         ends = F.col("__is_current") & ~F.col("__is_skeleton") & ~F.col(sk).isin(*MEMBERS)
         when = as_of if as_of is not None else F.current_timestamp()
-        kind = target.schema["__valid_to"].dataType
         rest = rest.withColumns({"__valid_to": F.when(ends, when.cast(kind)).otherwise(F.col("__valid_to")), "__is_deleted": F.col("__is_deleted") | ends, "__is_current": F.col("__is_current") & ~ends})
     old = versions.select(
         *keys, "__valid_from", moment_us(versions, "__valid_from").alias("__us"), F.lit(-2).cast("bigint").alias("__v"), F.lit(False).alias("__gone"), F.struct(*attributes).alias("__a"),
         hashdiff(tracked, strategy).alias("hashdiff"), F.col(sk).alias("__sk"), F.col("__is_skeleton").alias("__sx"), F.when(F.col("__is_deleted"), F.col("__valid_to")).alias("__ended"),
     )
-    new = incoming.select("*", F.lit(None).cast("bigint").alias("__sk"), F.lit(False).alias("__sx"), F.lit(None).cast(target.schema["__valid_to"].dataType).alias("__ended"))
-    # a skeleton takes the attributes of its key's earliest incoming row, which then is no version of its own
-    first = incoming.filter(~F.col("__gone")).groupBy(*[F.col(k).alias(f"__f_{k}") for k in keys]).agg(F.min(F.struct("__us", "__v")).alias("__first"), F.min_by(F.struct("__a", "hashdiff"), F.struct("__us", "__v")).alias("__fill"))
-    fill_on = F.lit(True)
-    for k in keys:
-        fill_on &= old[k].eqNullSafe(first[f"__f_{k}"])
-    filled = old.join(first, fill_on & old["__sx"], "left")
-    used = filled.filter("__first IS NOT NULL").select(*[F.col(k).alias(f"__f_{k}") for k in keys], F.col("__first.__us").alias("__fu"), F.col("__first.__v").alias("__fv"))
-    old = filled.select(
-        *keys, "__valid_from", "__us", "__v", "__gone", F.when(F.col("__first").isNotNull(), F.col("__fill.__a")).otherwise(F.col("__a")).alias("__a"), F.when(F.col("__first").isNotNull(), F.col("__fill.hashdiff")).otherwise(F.col("hashdiff")).alias("hashdiff"),
-        "__sk", (F.col("__sx") & F.col("__first").isNull()).alias("__sx"), "__ended",
+    # one shuffle: one row per instant, its neighbours and the closing all run on the partitions of the keys
+    split = split_hot(old.unionByName(incoming), list(keys), "__us", share, least)
+    image = F.struct("__valid_from", "__v", "__gone", "__a", "hashdiff", "__sx", "__ended")
+    # an incoming row replaces a version that starts at the same moment, and takes its key
+    chain = (
+        split.df.repartition(*split.parts)
+        .groupBy(*split.parts, "__us")
+        .agg(F.max_by(image, F.struct("__v", "__gone", "hashdiff")).alias("m"), F.max("__sk").alias("__sk"))
+        .select(*split.parts, "__us", "m.*", "__sk")
+    )
+    # a skeleton takes the attributes in force at its start, else those that come next; a row that repeats them is dropped below
+    chain = chain.withColumn("__w", F.when(~F.col("__gone") & ~F.col("__sx"), F.struct("__a", "hashdiff")))
+    around = neighbours(chain, split, ["__us"], lag={"__lag_w": "__w"}, lead={"__lead_w": "__w"})
+    fill = F.when(F.col("__sx"), F.coalesce("__lag_w", "__lead_w"))
+    filled = around.select(
+        *split.parts, "__us", "__valid_from", "__gone", F.coalesce(fill["__a"], F.col("__a")).alias("__a"), F.coalesce(fill["hashdiff"], F.col("hashdiff")).alias("hashdiff"),
+        (F.col("__sx") & fill.isNull()).alias("__sx"), "__ended", "__sk",
     )
-    use_on = (new["__us"] == F.col("__fu")) & (new["__v"] == F.col("__fv"))
-    for k in keys:
-        use_on &= new[k].eqNullSafe(F.col(f"__f_{k}"))
-    new = new.join(used, use_on, "left_anti")
-    # one row per instant: an incoming row replaces a version that starts at the same moment, and takes its key
-    chain = old.unionByName(new.select(old.columns)).groupBy(*keys, "__us").agg(F.max_by(F.struct("__valid_from", "__v", "__gone", "__a", "hashdiff", "__sx", "__ended"), F.col("__v")).alias("m"), F.max("__sk").alias("__sk")).select(*keys, "__us", "m.*", "__sk")
-    split = split_hot(chain, list(keys), "__us", share, least)
-    seen = neighbours(split.df, split, ["__us"], lag={"__before": "hashdiff", "__before_gone": "__gone", "__before_ended": "__ended"})
+    seen = neighbours(filled, split, ["__us"], lag={"__before": "hashdiff", "__before_gone": "__gone", "__before_ended": "__ended"})
     repeated = (F.col("__before") == F.col("hashdiff")) & ~F.col("__before_gone") & F.col("__before_ended").isNull() & F.col("__sk").isNull() & ~F.col("__gone")
     again = F.col("__gone") & F.col("__before").isNull()
     kept = seen.filter(~F.coalesce(repeated, F.lit(False)) & ~F.coalesce(again, F.lit(False))).drop("__before", "__before_gone", "__before_ended")
     closed = neighbours(kept, split, ["__us"], lead={"__next": "__valid_from", "__next_gone": "__gone"}).filter(~F.col("__gone"))
-    kind = target.schema["__valid_to"].dataType
     # a version that had ended before stays ended unless something starts earlier
     end = F.least(F.coalesce(F.col("__next"), F.lit(VALID_TO).cast(kind)), F.coalesce(F.col("__ended"), F.lit(VALID_TO).cast(kind)))
     deleted = F.coalesce(F.col("__next_gone"), F.lit(False)) | F.col("__ended").isNotNull()

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.runtime import cut, drop_cut
+from orrery.runtime import counted_cut, cut, drop_cut
 
 
 def latest_links(rows: DataFrame, node: str, parent: str, instant: str) -> DataFrame:
@@ -43,8 +43,8 @@ def _descend(links: DataFrame, start: DataFrame) -> tuple[DataFrame, list[DataFr
         below = links.join(frontier, links["parent"] == frontier["above"]).select(
             links["id"], "root", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", links["id"].cast("string")).alias("path")
         )
-        below = cut(below, "level")
-        if below.isEmpty():
+        below, n = counted_cut(below, "level")
+        if not n:
             drop_cut(below)
             return reduce(DataFrame.unionByName, levels), levels
         levels.append(below)
@@ -92,8 +92,8 @@ def hierarchy(rows: DataFrame, node: str, parent: str, instant: str) -> DataFram
     linked = links.filter(F.col("parent").isNotNull())
     reached, _ = _descend(linked, roots)
     trees = reached.withColumn("chain", F.col("path"))
-    lost = cut(linked.join(reached.select("id"), "id", "left_anti"), "lost")
-    if lost.isEmpty():
+    lost, n = counted_cut(linked.join(reached.select("id"), "id", "left_anti"), "lost")
+    if not n:
         return trees
     loops = cut(_on_loops(lost), "loops")
     start = loops.select("id", F.col("loop").alias("root"), F.lit(0).alias("depth"), F.col("id").cast("string").alias("path"))

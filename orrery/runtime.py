@@ -10,7 +10,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _FOLDERS: dict[str, str] = {}
@@ -47,6 +48,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+def counted_cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, int]:
+    """A ``cut`` and its number of rows, counted while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a cut that no later result needs."""
     if path := getattr(df, "_orrery_path", None):

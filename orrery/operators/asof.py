@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from orrery.operators.hot import LEAST, SHARE, neighbours, split_hot
-from orrery.runtime import cut
+from orrery.runtime import counted_cut, cut
 
-#: Bits of the bucket widths, coarsest first: 2^41 us is 25 days, each finer bucket is 1/64 of the one before.
-BUCKET_BITS = (41, 35, 29, 23, 17, 11, 5)
+#: A crowded bucket is split into 2^REFINE finer ones, down to 2^FINEST microseconds.
+REFINE, FINEST = 6, 5
 #: A bucket in which an entity has more intervals than this is split into finer ones.
 DENSE = 64
 
@@ -21,9 +21,10 @@ def validity_intervals(changes: DataFrame, entity: str, at: str, share: float =
 
     Rows with NULL entity or instant are left out; repeated instants count once.
     """
-    instants = changes.filter(F.col(entity).isNotNull() & F.col(at).isNotNull()).select(F.col(entity).alias("entity"), F.col(at).alias("from_us")).distinct()
-    split = split_hot(instants, ["entity"], "from_us", share, least)
-    return neighbours(split.df, split, ["from_us"], lead={"to_us": "from_us"}).select("entity", "from_us", "to_us")
+    rows = changes.filter(F.col(entity).isNotNull() & F.col(at).isNotNull()).select(F.col(entity).alias("entity"), F.col(at).alias("from_us"))
+    split = split_hot(rows, ["entity"], "from_us", share, least, changes.select(F.col(entity).alias("entity")))
+    instants = split.df.repartition(*split.parts).groupBy(*split.parts, "from_us").agg(F.lit(1).alias("one"))  # one shuffle for this and the window
+    return neighbours(instants, split, ["from_us"], lead={"to_us": "from_us"}).select("entity", "from_us", "to_us")
 
 
 def _bucket(column, bits: int):
@@ -47,29 +48,35 @@ def asof_join(events: DataFrame, changes: DataFrame, *, entity: str, event_at: s
 
     Validity intervals run from one change to the next and are exploded into the time buckets they touch, events
     are equi-joined by entity and bucket, and half-open containment keeps the one that holds. An interval
-    without end is closed at the last event. Where an entity has more than ``dense`` intervals in a bucket, that
-    bucket is replaced by 64 finer ones, down to 32 microseconds; an event therefore meets at most ``dense``
-    intervals, and the exploded table is at most a few times the changes.
+    without end is closed at the last event. Buckets are as wide as the average interval, so that the exploded table is about twice
+    the changes. Where an entity has more than ``dense`` intervals in a bucket, that bucket is replaced by 64 finer ones, down to 32 microseconds; an
+    event therefore meets at most ``dense`` intervals.
     """
     events = events.drop("known_at").filter(F.col(entity).isNotNull() & F.col(event_at).isNotNull())
-    span = events.agg(F.min(event_at).alias("a"), F.max(event_at).alias("b")).first()
-    known = validity_intervals(changes, change_entity, change_at, share, least)
-    if span["a"] is None:
+    span = Observation()
+    events = cut(events.observe(span, F.min(event_at).alias("a"), F.max(event_at).alias("b")), "events")
+    first, last = span.get["a"], span.get["b"]
+    if first is None:
         return events.withColumn("known_at", F.lit(None).cast("bigint"))
+    known = validity_intervals(changes, change_entity, change_at, share, least)
     rest = (
-        known.withColumns({"lo": F.greatest("from_us", F.lit(span["a"]).cast("bigint")), "hi": F.least(F.coalesce(F.col("to_us") - 1, F.lit(span["b"]).cast("bigint")), F.lit(span["b"]).cast("bigint"))})
+        known.withColumns({"lo": F.greatest("from_us", F.lit(first).cast("bigint")), "hi": F.least(F.coalesce(F.col("to_us") - 1, F.lit(last).cast("bigint")), F.lit(last).cast("bigint"))})
         .filter("lo <= hi")
         .select("entity", "from_us", "lo", "hi")
     )
+    size = Observation()
+    rest = cut(rest.observe(size, F.avg(F.col("hi") - F.col("lo")).alias("length")), "intervals")
+    coarsest = max(FINEST, int(size.get["length"] or 1).bit_length())
+    levels = [*range(coarsest, FINEST, -REFINE), FINEST]
     rest_events, parts = events, []
-    for level, bits in enumerate(BUCKET_BITS):
-        finest = level == len(BUCKET_BITS) - 1
+    for bits in levels:
+        finest = bits == FINEST
         pieces = _into_buckets(rest, bits)
         pieces = cut(pieces, "buckets")
         crowded = None if finest else pieces.groupBy("entity", "bucket").count().filter(F.col("count") > dense).select("entity", "bucket")
         if crowded is not None:
-            crowded = cut(crowded, "crowded")
-            if crowded.isEmpty():
+            crowded, n = counted_cut(crowded, "crowded")
+            if not n:
                 crowded = None
         here, at = rest_events.withColumn("__bucket", _bucket(F.col(event_at), bits)), pieces
         marks = None

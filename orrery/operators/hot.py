@@ -57,12 +57,13 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float = SHARE, least: int
     return {x["item"]: x["count"] for x in found["top"] or [] if x["count"] >= bar}
 
 
-def split_hot(df: DataFrame, keys: list[str], order: str, share: float = SHARE, least: int = LEAST) -> Split:
+def split_hot(df: DataFrame, keys: list[str], order: str, share: float = SHARE, least: int = LEAST, counted: DataFrame | None = None) -> Split:
     """Cut hot keys into pieces that follow one another in ``order`` (a numeric column without NULLs).
 
-    Rows that are equal in keys and ``order`` stay together.
+    Rows that are equal in keys and ``order`` stay together. ``counted``: rows to find the hot keys in, if they are cheaper to read than ``df``
+    and hold each of its rows.
     """
-    hot = heavy_keys(df, keys, share, least)
+    hot = heavy_keys(df if counted is None else counted, keys, share, least)
     if not hot:
         return Split(df, keys)
     pieces = max(2, min(1000, round(max(hot.values()) / max(min(hot.values()), 1)) + 1))

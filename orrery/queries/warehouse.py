@@ -478,7 +478,7 @@ opened AS (SELECT order_id, customer_id FROM h WHERE customer_id IS NOT NULL AND
 _GRAIN = "sha256('{\"order_id\":' || order_id || '}')"
 
 
-@query("unresolved_open", f"WITH {_CUST}, {_UNRES} SELECT {_GRAIN} AS grain_hash, -3 AS member, 'OPEN' AS status FROM opened")
+@query("unresolved_open", f"WITH {_CUST}, {_UNRES} SELECT {_GRAIN} AS grain_hash, CAST(-3 AS BIGINT) AS member, 'OPEN' AS status FROM opened")
 def unresolved_open(spark, folder) -> DataFrame:
     return _opened(spark, folder).select("grain_hash", "member", "status")
 
@@ -741,7 +741,7 @@ def scan_time_travel(spark, folder) -> DataFrame:
     return _landed(spark, folder, "travel")[0].snapshot(1).select("customer_id", "email", "address")
 
 
-@query("scan_cdf", f"""WITH {_CUST} SELECT d2.customer_id, CASE WHEN d1.customer_id IS NULL THEN 'insert' ELSE 'update_postimage' END AS change_type, 2 AS version FROM day2 d2 LEFT JOIN day1 d1 ON d1.customer_id = d2.customer_id
+@query("scan_cdf", f"""WITH {_CUST} SELECT d2.customer_id, CASE WHEN d1.customer_id IS NULL THEN 'insert' ELSE 'update_postimage' END AS change_type, CAST(2 AS BIGINT) AS version FROM day2 d2 LEFT JOIN day1 d1 ON d1.customer_id = d2.customer_id
 WHERE d1.customer_id IS NULL OR d1.email IS DISTINCT FROM d2.email OR d1.address IS DISTINCT FROM d2.address""")
 def scan_cdf(spark, folder) -> DataFrame:
     rows = fd.changes_between(_landed(spark, folder, "cdf")[0].changes(2, 2), 2)

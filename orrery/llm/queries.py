@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.leakage import leaked_items
 from orrery.llm.mixture import mixture_report, read_targets, select_documents, with_tokens
-from orrery.llm.reading import fit_ranker, is_english, labelled_features, reading_levels, word_count
+from orrery.llm.reading import fit_ranker, labelled_features, reading_levels
 
 LLM_QUERIES: dict = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -75,8 +75,7 @@ def p9_selected(spark, folder) -> DataFrame:
 def _levels(spark, folder) -> DataFrame:
     documents = _table(spark, folder, "documents")
     x, y = labelled_features(documents, _table(spark, folder, "reading_labels"))
-    english = documents.filter((word_count(F.col("text")) >= 40) & is_english(F.col("text")))
-    return reading_levels(english, fit_ranker(x, y))
+    return reading_levels(documents, fit_ranker(x, y), keep=["doc_id", "source"]).filter("english AND words >= 40")
 
 
 @_query("p10_found")
@@ -88,4 +87,4 @@ def p10_found(spark, folder) -> DataFrame:
 def p10_profile(spark, folder) -> DataFrame:
     """English documents, their words and mean score per source and level."""
     label = F.lower(F.trim(F.col("source"))).alias("source")
-    return _levels(spark, folder).groupBy(label, "level").agg(F.count(F.lit(1)).alias("documents"), F.sum(word_count(F.col("text"))).alias("words"), F.avg("score").alias("mean_score"))
+    return _levels(spark, folder).groupBy(label, "level").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.avg("score").alias("mean_score"))

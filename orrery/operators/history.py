@@ -38,8 +38,10 @@ def merge_history(incoming: DataFrame, *, key: str, at: str, tracked: list[str],
         ties = [F.lit(None).cast(incoming.schema[c].dataType).alias(f"t{i}") for i, c in enumerate(tie)]
         rows = rows.unionByName(current.select(key, "valid_from_us", F.lit(0).alias("__new"), F.struct(*ties, digest.alias("digest"), *tracked).alias("v")))
     rows = rows.filter(F.col(key).isNotNull() & F.col("valid_from_us").isNotNull())
-    once = rows.groupBy(key, "valid_from_us").agg(F.max(F.struct("__new", "v")).alias("m")).select(key, "valid_from_us", F.col("m.v").alias("v"), F.col("m.v.digest").alias("digest"))
-    split = split_hot(once, [key], "valid_from_us", share, least)
-    changed = neighbours(split.df, split, ["valid_from_us"], lag={"__before": "digest"}).filter(F.col("__before").isNull() | (F.col("__before") != F.col("digest"))).drop("__before")
+    counted = incoming.select(key) if current is None else incoming.select(key).unionByName(current.select(key))
+    split = split_hot(rows, [key], "valid_from_us", share, least, counted)
+    # one shuffle: one row per instant, the comparison and the closing all run on the partitions of the key
+    once = split.df.repartition(*split.parts).groupBy(*split.parts, "valid_from_us").agg(F.max(F.struct("__new", "v")).alias("m")).select(*split.parts, "valid_from_us", F.col("m.v").alias("v"), F.col("m.v.digest").alias("digest"))
+    changed = neighbours(once, split, ["valid_from_us"], lag={"__before": "digest"}).filter(F.col("__before").isNull() | (F.col("__before") != F.col("digest"))).drop("__before")
     closed = neighbours(changed, split, ["valid_from_us"], lead={"__next": "valid_from_us"})
     return closed.select(key, *[F.col(f"v.{c}").alias(c) for c in tracked], "valid_from_us", F.coalesce("__next", F.lit(OPEN_END_US).cast("bigint")).alias("valid_to_us"), F.col("__next").isNull().alias("is_current"))

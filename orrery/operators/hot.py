@@ -49,12 +49,17 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float = SHARE, least: int
     At most 1 / share of them can exist, so the result is small however large the input.
     Runs one scan of the key columns. An empty table has none.
     """
+    return _heavy(df, keys, share, least)[0]
+
+
+def _heavy(df: DataFrame, keys: list[str], share: float, least: int) -> tuple[dict[int, int], float]:
+    """The heavy keys, and the number of rows from which a key is one."""
     top = min(10_000, int(2 / share) + 10)
     found = df.select(key_hash(keys).alias("h")).agg(F.expr(f"approx_top_k(h, {top}, {max(_TRACKED, top)})").alias("top"), F.count(F.lit(1)).alias("n")).first()
     if not found or not found["n"]:
-        return {}
-    bar = max(share * found["n"], least)
-    return {x["item"]: x["count"] for x in found["top"] or [] if x["count"] >= bar}
+        return {}, least
+    bar = max(share * found["n"], least, 1)
+    return {x["item"]: x["count"] for x in found["top"] or [] if x["count"] >= bar}, bar
 
 
 def split_hot(df: DataFrame, keys: list[str], order: str, share: float = SHARE, least: int = LEAST, counted: DataFrame | None = None) -> Split:
@@ -63,10 +68,11 @@ def split_hot(df: DataFrame, keys: list[str], order: str, share: float = SHARE,
     Rows that are equal in keys and ``order`` stay together. ``counted``: rows to find the hot keys in, if they are cheaper to read than ``df``
     and hold each of its rows.
     """
-    hot = heavy_keys(df if counted is None else counted, keys, share, least)
+    hot, bar = _heavy(df if counted is None else counted, keys, share, least)
     if not hot:
         return Split(df, keys)
-    pieces = max(2, min(1000, round(max(hot.values()) / max(min(hot.values()), 1)) + 1))
+    pieces = min(1000, int(max(hot.values()) / bar) + 1)  # no piece has much more rows than a key that isn't hot
+    pieces = max(2, pieces)
     points = [i / pieces for i in range(1, pieces)]
     hashed = df.withColumn(_HASH, key_hash(keys))
     cuts = (

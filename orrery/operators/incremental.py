@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +16,11 @@ class KeyHashState:
     """Key and content hash of every record already processed, as numbered versions below a folder.
 
     A version is a Parquet table ``v=N`` and takes effect with the marker file ``_live/N``, which is created exclusively:
-    of two runs that swap at once one fails, and a run that dies before its marker leaves the former version in force.
+    of two runs that swap at once one fails, and a run that dies before its marker leaves the former version in force; what it claimed is free again after ``patience`` seconds.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], patience: float = 60.0):
+        self.spark, self.path, self.keys, self.patience = spark, path.rstrip("/"), keys, patience
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
 
@@ -42,13 +43,21 @@ class KeyHashState:
         state.write.parquet(written)
         marker = self._path(f"{self.path}/_live/{expected + 1}")
         claim = self._path(f"{self.path}/_claim/{expected + 1}")
-        if not self._exclusive(claim):
+        if not self._exclusive(claim) and not self._take_over(claim, marker):
             delete(self.spark, written)
             raise FileExistsError(f"version {expected + 1} of {self.path} was swapped in by another run")
+        delete(self.spark, target)  # of a run that died after its claim
         self._fs.rename(self._path(written), self._path(target))
         self._exclusive(marker)
         return expected + 1
 
+    def _take_over(self, claim, marker) -> bool:
+        """Whether a claim is dead (old, and its version never came into force) and could be claimed anew."""
+        if self._fs.exists(marker) or not self._fs.exists(claim) or time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 < self.patience:
+            return False
+        self._fs.delete(claim, False)
+        return self._exclusive(claim)
+
     def _exclusive(self, path) -> bool:
         try:
             self._fs.create(path, False).close()

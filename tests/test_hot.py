@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from orrery.operators.asof import asof_join, validity_intervals
 from orrery.operators.changes import apply_changes
 from orrery.operators.history import merge_history
-from orrery.operators.hot import heavy_keys, neighbours, split_hot
+from orrery.operators.hot import CHUNK, heavy_keys, neighbours, split_hot
 from orrery.operators.intervals import IntervalMap, periods_and_gaps
 
-HOT = {"share": 0.2, "least": 10}
+HOT = {"share": 0.1, "least": 10}
 
 
 def skewed(n, seed, keys=(1, 1, 1, 2, 3, 4, 5, 6)):
@@ -22,6 +22,9 @@ def skewed(n, seed, keys=(1, 1, 1, 2, 3, 4, 5, 6)):
 def test_heavy_keys(spark):
     df = spark.createDataFrame(skewed(800, 1), "k int, t bigint")
     assert len(heavy_keys(df, ["k"], 0.2, 10)) == 1
+    split = split_hot(df, ["k"], "t", 0.05, 10)
+    sizes = [r["count"] for r in split.df.filter("k = 1").groupBy(CHUNK).count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 100  # of 300 rows
     assert heavy_keys(df, ["k"], 0.2, 10_000) == {}
     assert heavy_keys(df.limit(0), ["k"]) == {}
 
@@ -30,7 +33,7 @@ def test_neighbours(spark):
     rows = sorted(set(skewed(600, 2)))
     df = spark.createDataFrame(rows, "k int, t bigint")
     split = split_hot(df, ["k"], "t", **HOT)
-    assert split.hot
+    assert split.hot and split.df.select(CHUNK).distinct().count() >= 3
     got = {(r["k"], r["t"]): (r["n"], r["p"]) for r in neighbours(split.df, split, ["t"], lead={"n": "t"}, lag={"p": "t"}).collect()}
     want = {}
     for k in {r[0] for r in rows}:

@@ -35,6 +35,19 @@ def test_two_runs_cannot_swap_the_same_version(spark):
     assert state.version() == 1 and state.read().count() == 1
 
 
+def test_claim_of_a_dead_run_is_taken_over(spark):
+    path = fresh_path(spark, "t")
+    state = KeyHashState(spark, path, ["id"])
+    done = hashed_records(rows(spark, (1, "x", 1)), ["id"], ["a"])
+    assert state._exclusive(state._path(f"{path}/_claim/1"))
+    done.write.parquet(f"{path}/v=1")  # it died after its data were in place
+    with pytest.raises(FileExistsError):
+        state.swap(done, 0)
+    assert state.version() == 0 and state.read() is None
+    assert KeyHashState(spark, path, ["id"], patience=0).swap(done, 0) == 1
+    assert state.read().count() == 1
+
+
 def test_empty_input(spark):
     state = KeyHashState(spark, fresh_path(spark, "t"), ["id"])
     with incremental_run(state, rows(spark), ["a"]) as todo:

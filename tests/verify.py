@@ -1,8 +1,9 @@
-"""python tests/verify.py FOLDER [NAME...]: runs queries against their SQL and prints what differs."""
+"""python tests/verify.py FOLDER [NAME...]: runs queries against their SQL and prints what differs. $VERIFY_ZONE: the session's time zone."""
 
 from __future__ import annotations
 
 import hashlib
+import os
 import sys
 import time
 from decimal import Decimal
@@ -65,7 +66,7 @@ if __name__ == "__main__":
     from orrery.session import session
 
     folder, names = sys.argv[1], sys.argv[2:]
-    spark = session("local[8]")
+    spark = session("local[8]", **({"spark.sql.session.timeZone": zone} if (zone := os.environ.get("VERIFY_ZONE")) else {}))
     spark.sparkContext.setLogLevel("ERROR")
     queries, oracles, con = entry.queries(), entry.oracle_sql(), views(folder)
     bad = 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,54 +87,155 @@ def similarity(a: Counter, b: Counter, weight) -> float:
     return least / most if most else 1.0
 
 
+def shingle_codes(hashes: np.ndarray) -> np.ndarray:
+    """A hash of every run of ``SHINGLE`` words."""
+    n = max(0, len(hashes) - SHINGLE + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+    return out
+
+
 class ItemIndex:
-    """The windows of a block of evaluation items, by window size: where each begins, and an index of their fingerprints."""
+    """The windows of ``window`` words of a block of evaluation items: where each begins, and an index of their fingerprints."""
+
+    def __init__(self, items: list[tuple[int, str]], window: int, radius: int, least: float):
+        self.least, self.size, self.overlap = least, window, window - 1
+        self.keys, self.words = [], []
+        starts, prints = [], [np.empty(0, np.uint64)]
+        for key, text in items:
+            w = words(text)
+            if len(w) < window:
+                continue
+            starts += [(len(self.keys), i) for i in range(len(w) - window + 1)]
+            prints.append(simhashes(bit_sums(word_hashes(w)), window))
+            self.keys.append(key)
+            self.words.append(w)
+        self.starts, self.index = np.array(starts, np.int32).reshape(-1, 2), HammingIndex(np.concatenate(prints), radius)
+
+    def leaks(self, docs: list[tuple[int, list[str]]]) -> Iterator[tuple[int, int, float]]:
+        """(document, item, similarity) of whatever the documents hold; the words of all documents are searched at once."""
+        if not self.keys or self.least > 1.0:
+            return
+        text = [w for _, found in docs for w in found]
+        ends = np.cumsum(np.array([len(found) for _, found in docs], np.int64))
+        q, f = self.index.search(simhashes(bit_sums(word_hashes(text)), self.size))
+        inside = np.searchsorted(ends, q, side="right") == np.searchsorted(ends, q + self.size - 1, side="right")
+        same = set()
+        for at, (i, offset) in zip(q[inside].tolist(), self.starts[f[inside]].tolist(), strict=True):
+            pair = docs[int(np.searchsorted(ends, at, side="right"))][0], self.keys[i]
+            if pair not in same and text[at : at + self.size] == self.words[i][offset : offset + self.size]:
+                same.add(pair)
+        for doc, key in same:
+            yield doc, key, 1.0
+
+
+class PassageIndex:
+    """The shingles of a block of evaluation items' whole passages, and the items that have each.
+
+    A window as similar as ``least`` shares shingles of ``least`` times the item's weight, so looking up every shingle of a
+    text misses none, whatever the window's length. Dropping a shingle the item lacks from an end of a window never makes it less
+    similar, and a window heavier than the item's weight / ``least`` is not similar enough, so only windows between shared shingles and up to that weight are tried.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], window: int | None, radius: int, least: float):
-        self.least, self.exact = least, window is not None
+    #: texts are searched whole, for a window has no fixed length
+    overlap = None
+
+    def __init__(self, items: list[tuple[int, str]], least: float):
+        if least <= 0:
+            raise ValueError("the least similarity must be above 0")
+        self.least = least
         self.keys, self.words = [], []
-        seen: dict[tuple, int] = defaultdict(int)
-        starts: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        prints: dict[int, list[np.ndarray]] = defaultdict(list)
+        seen: Counter = Counter()
+        codes, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for key, text in items:
             w = words(text)
-            for s in set(shingles(w)) if w else ():
-                seen[s] += 1
-            size = window if window is not None else len(w)
-            if len(w) < size or (window is None and not SHINGLE <= size <= 255):
+            if not SHINGLE <= len(w) <= 255:
                 continue
-            starts[size] += [(len(self.keys), i) for i in range(len(w) - size + 1)]
-            prints[size].append(simhashes(bit_sums(word_hashes(w)), size))
+            seen.update(set(shingles(w)))
+            codes.append(np.unique(shingle_codes(word_hashes(w))))
+            owners.append(np.full(len(codes[-1]), len(self.keys)))
             self.keys.append(key)
             self.words.append(w)
-        self.overlap = max(starts, default=1) - 1
         #: shingles that several items share; all others weigh 1
         self.shared = {s: n for s, n in seen.items() if n > 1}
-        self.sizes = {n: (np.array(starts[n], np.int32), HammingIndex(np.concatenate(prints[n]), radius)) for n in starts}
+        every = np.concatenate(codes)
+        order = np.argsort(every, kind="stable")
+        self.codes, first = np.unique(every[order], return_index=True)
+        self.owners, self.first = np.concatenate(owners)[order], np.append(first, len(every))
+        self.weights = 1.0 / np.diff(self.first)
+        self.bags: dict[int, tuple[Counter, Counter, float]] = {}
 
     def weight(self, shingle: tuple) -> float:
         """A shingle counts less the more items share it."""
         return 1 / self.shared.get(shingle, 1)
 
+    def bag(self, i: int) -> tuple[Counter, Counter, float]:
+        """An item's shingles, the same by their places in ``codes``, and their weight."""
+        if i not in self.bags:
+            slots = np.searchsorted(self.codes, shingle_codes(word_hashes(self.words[i])))
+            self.bags[i] = shingles(self.words[i]), Counter(slots.tolist()), float(self.weights[slots].sum())
+        return self.bags[i]
+
     def leaks(self, docs: list[tuple[int, list[str]]]) -> Iterator[tuple[int, int, float]]:
         """(document, item, similarity) of whatever the documents hold; the words of all documents are searched at once."""
+        if not self.keys:
+            return
         text = [w for _, found in docs for w in found]
-        sums = bit_sums(word_hashes(text))
         ends = np.cumsum(np.array([len(found) for _, found in docs], np.int64))
-        best: dict[tuple[int, int], float] = {}
-        for size, (starts, index) in self.sizes.items():
-            q, f = index.search(simhashes(sums, size))
-            inside = np.searchsorted(ends, q, side="right") == np.searchsorted(ends, q + size - 1, side="right")
-            for at, (i, offset) in zip(q[inside].tolist(), starts[f[inside]].tolist(), strict=True):
-                pair = docs[int(np.searchsorted(ends, at, side="right"))][0], self.keys[i]
-                if (known := best.get(pair, 0.0)) == 1.0:
-                    continue
-                found, item = text[at : at + size], self.words[i][offset : offset + size]
-                like = 1.0 if found == item else similarity(shingles(found), shingles(item), self.weight)
-                if like >= self.least and (found == item or not self.exact) and like > known:
-                    best[pair] = like
-        for (doc, key), like in best.items():
-            yield doc, key, like
+        codes = shingle_codes(word_hashes(text))
+        slot = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        hit = np.flatnonzero(self.codes[slot] == codes)
+        weight = np.ones(len(codes))
+        weight[hit] = self.weights[slot[hit]]
+        upto = np.concatenate([[0.0], np.cumsum(weight)])
+        doc = np.searchsorted(ends, hit, side="right")
+        inside = doc == np.searchsorted(ends, hit + SHINGLE - 1, side="right")
+        hit, doc = hit[inside], doc[inside]
+        if not len(hit):
+            return
+        # a row per shared shingle and item that has it, those of one document and item together and in the text's order
+        n = self.first[slot[hit] + 1] - self.first[slot[hit]]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        item, at, doc = self.owners[np.repeat(self.first[slot[hit]], n) + step], np.repeat(hit, n), np.repeat(doc, n)
+        order = np.lexsort((at, item, doc))
+        item, at, doc = item[order], at[order], doc[order]
+        edges = np.append(np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]))), len(at))
+        shared = np.add.reduceat(weight[at], edges[:-1])
+        for g in range(len(shared)):
+            i = int(item[edges[g]])
+            bag, places, whole = self.bag(i)
+            if shared[g] < self.least * whole - 1e-9:
+                continue
+            span = at[edges[g] : edges[g + 1]]
+            window = self._best(span.tolist(), slot[span].tolist(), weight[span], upto, places, whole)
+            if window is None:
+                continue
+            found = text[window[0] : window[1]]
+            like = 1.0 if found == self.words[i] else min(1.0, similarity(shingles(found), bag, self.weight))
+            if like >= self.least - 1e-12:
+                yield docs[int(doc[edges[g]])][0], self.keys[i], like
+
+    def _best(self, at: list[int], slots: list[int], weight: np.ndarray, upto: np.ndarray, places: Counter, whole: float) -> tuple[int, int] | None:
+        """The words from and to of the most similar window, None if no window is near ``least``; ``at`` are the shared shingles in order."""
+        best, window, most = self.least - 1e-9, None, whole / self.least + 1e-9
+        rest, weight = np.cumsum(weight[::-1])[::-1].tolist(), weight.tolist()
+        for a, start in enumerate(at):
+            if rest[a] < self.least * whole - 1e-9 or best > 1 - 1e-9:
+                break
+            had: dict[int, int] = {}
+            common, before = 0.0, upto[start]
+            for b in range(a, len(at)):
+                size = upto[at[b] + 1] - before
+                if size > most:
+                    break
+                s = slots[b]
+                had[s] = had.get(s, 0) + 1
+                if had[s] <= places[s]:
+                    common += weight[b]
+                    if (like := common / (whole + size - common)) > best:
+                        best, window = like, (start, at[b] + SHINGLE)
+        return window
 
 
 def _finder(index):
@@ -153,9 +254,10 @@ def _finder(index):
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if key is None or not (found := words(t)):
                     continue
-                # a very long text is searched in pieces that share what a window may span
-                for at in range(0, max(1, len(found) - find.overlap), _CHUNK):
-                    piece = found[at : at + _CHUNK + find.overlap]
+                # a very long text is searched in pieces that share what a window may span, if that is limited
+                step, overlap = (len(found), 0) if find.overlap is None else (_CHUNK, find.overlap)
+                for at in range(0, max(1, len(found) - overlap), step):
+                    piece = found[at : at + step + overlap]
                     docs.append((key, piece))
                     n += len(piece)
                     if n >= _CHUNK:
@@ -171,12 +273,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id",
     """(doc_id, eval_id, similarity): which documents contain passages of which evaluation items.
 
     With ``window`` an item leaks if any of its runs of that many consecutive words stands in a document. With
-    ``window=None`` the item's whole passage is compared with the document's windows of the same length, and leaks from a similarity of
-    ``least`` on. Items with fewer words than the window (or, without, fewer than five or more than 255) leak nowhere.
+    ``window=None`` the item's whole passage is compared with the document's windows of every length, and leaks if the most similar one
+    reaches ``least`` (above 0). Items with fewer words than the window (or, without, fewer than five or more than 255) leak nowhere.
 
-    Every window of items and documents has a SimHash; a multi-index over radius + 1 blocks of bits finds all item windows within
-    ``radius`` bits of a document's window (equal windows have equal fingerprints, so none is missed), and the exact weighted similarity of
-    five-word shingles, then with ``window`` equality of the words, decides. Whole texts are searched; NULL and empty texts and NULL ids have no rows.
+    With ``window`` every window of items and documents has a SimHash; a multi-index over radius + 1 blocks of bits finds all item windows within
+    ``radius`` bits of a document's window (equal windows have equal fingerprints, so none is missed), and equality of the words decides.
+    Without, fingerprints and ``radius`` play no part: every five-word shingle of the documents is looked up among the items', and the exact weighted
+    similarity of the windows between shared shingles decides, so none is missed. Whole texts are searched; NULL and empty texts and NULL ids have no rows.
 
     The items are the stated query set: they are dealt by hash into blocks of about ``block_words`` words, each held by the executors for one pass
     over the documents, which are never shuffled.
@@ -189,7 +292,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id",
     found = None
     for b in range(blocks):
         rows = [(r[0], r[1]) for r in asked.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]  # about block_words words
-        index = spark.sparkContext.broadcast(ItemIndex(rows, window, radius, least))
+        index = spark.sparkContext.broadcast(PassageIndex(rows, least) if window is None else ItemIndex(rows, window, radius, least))
         part = corpus.mapInArrow(_finder(index), "doc_id bigint, eval_id bigint, similarity double")
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "eval_id").agg(F.max("similarity").alias("similarity"))

@@ -34,8 +34,8 @@ def p8_found(spark, folder) -> DataFrame:
 
 @_query("p8_whole_items")
 def p8_whole_items(spark, folder) -> DataFrame:
-    """Documents that hold a whole item's passage, verbatim or nearly (similarity of five-word shingles 0.8 or more)."""
-    return leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"), window=None, radius=7, least=0.8)
+    """Documents that hold a whole item's passage, verbatim or nearly (similarity of five-word shingles 0.8 or more, in a window of any length)."""
+    return leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"), window=None, least=0.8)
 
 
 def _sized(spark, folder) -> DataFrame:

@@ -123,3 +123,34 @@ def test_pieces_of_long_texts_miss_nothing(spark, monkeypatch):
         batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(text)])], names=["d", "t"])
         found = {(d, i) for b in leakage._finder(Held)(iter([batch])) for d, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
         assert found == {(1, i) for i, _ in items}
+
+
+def nearest(doc, item, weight):
+    """The largest similarity of any run of the document's words, by trying all; without a common shingle it is 0."""
+    bag = shingles(item)
+    if not bag.keys() & shingles(doc).keys():
+        return 0.0
+    return max((similarity(shingles(doc[a:b]), bag, weight) for a in range(len(doc)) for b in range(a + 5, len(doc) + 1)), default=0.0)
+
+
+def test_whole_items_in_windows_of_any_length_miss_nothing(spark):
+    rng = random.Random(21)
+    say = lambda k, v: [f"{v}{rng.randrange(10**6)}" for _ in range(k)]
+    common = say(9, "c")
+    passages = [say(rng.randrange(21, 40), "p") for _ in range(8)] + [common + say(20, "p"), common + say(22, "p"), [*"ab" * 13], say(5, "p")]
+    texts = []
+    for p in passages:
+        gone = lambda w, at: [*w[:at], *w[at + 1 :]]
+        for t in (p, p[:-1], p[1:], p[1:-1], ["x", *p[1:-1], "y"], gone(p, len(p) // 2), [*p[:9], *say(2, "i"), *p[9:]], [*p[:9], *p[20:]], p + p, [*p[: len(p) // 2], *say(3, "i"), *p[len(p) // 2 :]]):
+            texts += [t, [*say(3, "f"), *t, *say(4, "f")]]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "eval_id bigint, passage string")
+    seen = {}
+    for p in passages:
+        for s in set(shingles(p)):
+            seen[s] = seen.get(s, 0) + 1
+    like = {(d, i): nearest(t, p, lambda s: 1 / seen.get(s, 1)) for d, t in enumerate(texts) for i, p in enumerate(passages)}
+    want = {k: v for k, v in like.items() if v >= 0.8 - 1e-12}
+    got = {(r["doc_id"], r["eval_id"]): r["similarity"] for r in leaked_items(docs, items, window=None, least=0.8).collect()}
+    assert len(want) > 120 and got.keys() == want.keys()
+    assert all(abs(v - want[k]) < 1e-9 for k, v in got.items())

@@ -150,7 +150,7 @@ class PassageIndex:
         codes, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for key, text in items:
             w = words(text)
-            if not SHINGLE <= len(w) <= 255:
+            if len(w) < SHINGLE:
                 continue
             seen.update(set(shingles(w)))
             codes.append(np.unique(shingle_codes(word_hashes(w))))
@@ -274,7 +274,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id",
 
     With ``window`` an item leaks if any of its runs of that many consecutive words stands in a document. With
     ``window=None`` the item's whole passage is compared with the document's windows of every length, and leaks if the most similar one
-    reaches ``least`` (above 0). Items with fewer words than the window (or, without, fewer than five or more than 255) leak nowhere.
+    reaches ``least`` (above 0). Items with fewer words than the window (or, without, fewer than five) leak nowhere; there is no upper limit.
 
     With ``window`` every window of items and documents has a SimHash; a multi-index over radius + 1 blocks of bits finds all item windows within
     ``radius`` bits of a document's window (equal windows have equal fingerprints, so none is missed), and equality of the words decides.

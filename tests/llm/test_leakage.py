@@ -154,3 +154,12 @@ def test_whole_items_in_windows_of_any_length_miss_nothing(spark):
     got = {(r["doc_id"], r["eval_id"]): r["similarity"] for r in leaked_items(docs, items, window=None, least=0.8).collect()}
     assert len(want) > 120 and got.keys() == want.keys()
     assert all(abs(v - want[k]) < 1e-9 for k, v in got.items())
+
+
+def test_long_whole_items(spark):
+    rng = random.Random(31)
+    items = {n: [f"l{rng.randrange(10**6)}" for _ in range(n)] for n in (255, 256, 300, 1000)}
+    docs = [(n, " ".join(["so", *w, "on"])) for n, w in items.items()] + [(-n, " ".join(w[: n // 2] + ["in"] + w[n // 2 :])) for n, w in items.items()]
+    rows = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "eval_id bigint, passage string")
+    got = {(r["doc_id"], r["eval_id"]): r["similarity"] for r in leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), rows, window=None, least=0.8).collect()}
+    assert got.keys() == {(d, abs(d)) for d, _ in docs} and all(got[n, n] == 1.0 for n in items)

@@ -145,8 +145,9 @@ def pending_changes(control: DataFrame, changes: DataFrame, path: str) -> DataFr
     """(target_table, source_table, change_id) of every committed change that a pair has not processed, once each.
 
     The pairs' watermarks say what was processed before key-and-hash state was kept: those changes become the first version of
-    the state below ``path``. Then the ordinary step follows: all committed changes are hashed and joined with the state, and
-    those it lacks, or holds with other content, come out. Uncommitted changes (NULL version) and sources of no pair have no row.
+    the state below ``path``. Then the ordinary step follows: the committed changes above the watermark (all, if there is none) are hashed and
+    joined with the state, and those it lacks, or holds with other content, come out; the version is content, so a change delivered again above
+    the watermark comes out too. Uncommitted changes (NULL version) and sources of no pair have no row.
     """
     marks = watermarks(control)
     keys = ["target_table", "source_table", "change_id"]
@@ -159,4 +160,5 @@ def pending_changes(control: DataFrame, changes: DataFrame, path: str) -> DataFr
     state = KeyHashState(changes.sparkSession, path, keys)
     done = committed.filter(F.col("_commit_version") <= F.col("watermark"))
     state.swap(hashed_records(done, keys, content), state.version())
-    return new_or_changed(committed, keys, content, state.read()).select(*keys)
+    pending = committed.filter(F.col("watermark").isNull() | (F.col("_commit_version") > F.col("watermark")))
+    return new_or_changed(pending, keys, content, state.read()).select(*keys)

@@ -70,3 +70,12 @@ def test_pending_changes(spark):
     assert got == [("t", "s.a", 2), ("u", "s.a", 1), ("u", "s.a", 2)]
     assert pending_changes(control.limit(0), changes, fresh_path(spark, "s")).count() == 0
     assert pending_changes(control, changes.limit(0), fresh_path(spark, "s")).count() == 0
+
+
+def test_changes_delivered_again_above_the_watermark_are_pending(spark):
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    control = spark.range(1).select(F.lit("t").alias("target_table"), F.lit("s").alias("source_table"), F.lit("b").alias("batch_id"), at.alias("updated_at"), at.alias("batch_completed_at"), F.lit("SUCCESS").alias("batch_status"), F.lit(10).cast("bigint").alias("last_processed_version"))
+    ids = F.col("id").alias("change_id"), F.lit("s").alias("source_table"), F.lit("insert").alias("_change_type")
+    old, new = (spark.range(50).select(*ids, F.lit(v).cast("bigint").alias("_commit_version"), F.col("id").cast("string").alias("payload")) for v in (7, 12))
+    got = pending_changes(control, old.unionByName(new.filter("change_id < 40")), fresh_path(spark, "s")).collect()
+    assert sorted(tuple(r) for r in got) == [("t", "s", i) for i in range(40)]

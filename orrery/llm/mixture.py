@@ -176,7 +176,30 @@ def mixture_report(sized: DataFrame, members: str, targets: list[Target]) -> lis
 
 
 def select_documents(sized: DataFrame, key: str, members: str, targets: list[Target], seed: int = 17, exact: int = EXACT) -> DataFrame:
-    """(key, source, copies): how often each document goes into the mixture for each source; documents not used have no row.
+    """(key, source, copies) of ``picked_documents``."""
+    return picked_documents(sized, key, members, targets, seed, exact).select(key, "source", "copies")
+
+
+def selected_report(sized: DataFrame, key: str, members: str, targets: list[Target], seed: int = 17) -> list[dict]:
+    """``mixture_report`` of the documents that ``select_documents`` picks: tokens taken, share and whether the quota is reached count their copies.
+
+    Selection stops short of a quota by less than a document per pattern, so a quota is mostly not reached to the token; ``planned`` has
+    the plan's tokens and ``reachable`` whether they reach the quota.
+    """
+    rows = picked_documents(sized, key, members, targets, seed).groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("n")).collect()  # a row per source
+    picked = {r["source"]: r["n"] or 0 for r in rows}
+    mixed = sum(picked.values())
+    report = mixture_report(sized, members, targets)
+    total = sum(r["size"] for r in report)
+    out = []
+    for r in report:
+        taken = picked.get(r["source"], 0)
+        out.append(r | {"taken": taken, "actual_share": taken / mixed if mixed else 0.0, "reached": r["quota"] - taken <= 1e-6 * max(total, 1), "planned": r["taken"], "reachable": r["reached"]})
+    return out
+
+
+def picked_documents(sized: DataFrame, key: str, members: str, targets: list[Target], seed: int = 17, exact: int = EXACT) -> DataFrame:
+    """(key, source, copies, tokens): how often each document goes into the mixture for each source; documents not used have no row.
 
     A pattern's tokens are used whole as often as the plan fills it; of the rest documents are picked in a seeded order until
     the plan's tokens are reached (short of it by less than one document). The order is a hash; a histogram of its first ten bits (1024 rows a
@@ -238,4 +261,4 @@ def select_documents(sized: DataFrame, key: str, members: str, targets: list[Tar
     placed = rows.join(F.broadcast(plan), "p").withColumn("at", F.expr(f"shiftrightunsigned(h, 64 - {BITS} * depth)"))
     edge = placed.filter("at = cell").withColumn("upto", F.sum("tokens").over(Window.partitionBy("p", "source").orderBy("h", key)))
     picked = placed.filter("at <> cell").withColumn("copies", F.col("full") + (F.col("at") < F.col("cell")).cast("int")).unionByName(edge.withColumn("copies", F.col("full") + (F.col("upto") <= F.col("left")).cast("int")).drop("upto"))
-    return picked.filter("copies > 0").select(key, "source", "copies")
+    return picked.filter("copies > 0").select(key, "source", "copies", "tokens")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.leakage import leaked_items
-from orrery.llm.mixture import mixture_report, read_targets, select_documents, with_tokens
+from orrery.llm.mixture import mixture_report, read_targets, select_documents, selected_report, with_tokens
 from orrery.llm.reading import fit_ranker, labelled_features, reading_levels
 
 LLM_QUERIES: dict = {}
@@ -58,10 +58,12 @@ def p9_found(spark, folder) -> DataFrame:
 
 @_query("p9_shares")
 def p9_shares(spark, folder) -> DataFrame:
-    """Per source the target and the share reached, in tokens."""
-    report = mixture_report(_sized(spark, folder), "members", read_targets(_table(spark, folder, "mix_targets")))
-    rows = [(r["source"], r["size"], float(r["quota"]), float(r["taken"]), r["target_share"], float(r["actual_share"]), r["reached"]) for r in report]
-    return spark.createDataFrame(rows, "source string, size bigint, quota double, taken double, target_share double, actual_share double, reached boolean")
+    """Per source the target and the share reached, in tokens of the documents selected; also the tokens planned and whether they reach the quota."""
+    from orrery.runtime import cut
+
+    report = selected_report(cut(_sized(spark, folder), "sized"), "doc_id", "members", read_targets(_table(spark, folder, "mix_targets")))
+    rows = [(r["source"], r["size"], float(r["quota"]), float(r["taken"]), r["target_share"], float(r["actual_share"]), r["reached"], float(r["planned"]), r["reachable"]) for r in report]
+    return spark.createDataFrame(rows, "source string, size bigint, quota double, taken double, target_share double, actual_share double, reached boolean, planned double, reachable boolean")
 
 
 @_query("p9_selected")

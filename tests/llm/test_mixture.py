@@ -88,3 +88,17 @@ def test_targets_and_tokens(spark, tmp_path):
     assert counted[1] == 2 and counted[2] == counted[3] == 0 and counted[4] > 1000 and counted[5] > 1
     words = {r["doc_id"]: r["tokens"] for r in with_tokens(docs, ["doc_id"], tokenizer=str(tmp_path / "none")).collect()}
     assert words == {1: 2, 2: 0, 3: 0, 4: 1, 5: 1}
+
+
+def test_report_counts_the_documents_selected(spark):
+    from orrery.llm.mixture import selected_report
+
+    long = spark.createDataFrame([(1, ["a"], 100), (2, ["a"], 100), (3, ["b"], 100), (4, ["b"], 100)], "id bigint, members array<string>, tokens bigint")
+    targets = [Target("a", 0.125, 1), Target("b", 0.5, 1)]
+    report = {r["source"]: r for r in selected_report(long, "id", "members", targets)}
+    picked = {}
+    for r in select_documents(long, "id", "members", targets).collect():
+        picked[r["source"]] = picked.get(r["source"], 0) + 100 * r["copies"]
+    assert {s: r["taken"] for s, r in report.items()} == {"a": 0, "b": 200} == {"a": 0} | picked
+    assert {s: r["actual_share"] for s, r in report.items()} == {"a": 0.0, "b": 1.0}
+    assert {s: (r["reached"], r["reachable"], r["planned"]) for s, r in report.items()} == {"a": (False, True, 50), "b": (True, True, 200)}

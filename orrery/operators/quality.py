@@ -109,7 +109,7 @@ def unique_rule(df: DataFrame, columns: Sequence[str], samples: int = 5) -> Data
 
 
 def plan_actions(rules: Sequence[Rule], max_actions: int) -> list[Rule]:
-    """The rules that fit the budget: one action for all scalar rules, one for each unique rule."""
+    """The rules that fit the budget: one action for all scalar rules, one for each unique rule. The others are left out; ``run_rules`` with ``max_actions`` refuses instead."""
     scalars, uniques = [r for r in rules if r.kind != "unique"], [r for r in rules if r.kind == "unique"]
     left = max_actions - bool(scalars)
     return [*(scalars if max_actions > 0 else []), *uniques[: max(0, left)]]
@@ -183,9 +183,12 @@ def report(outcomes: Sequence[Outcome]) -> dict[str, list[str]]:
     return bad
 
 
-def run_rules(df: DataFrame, rules: Sequence[Rule]) -> list[Outcome]:
-    """The outcome of every rule: one action for all scalar rules, one for each unique rule."""
+def run_rules(df: DataFrame, rules: Sequence[Rule], max_actions: int | None = None) -> list[Outcome]:
+    """The outcome of every rule: one action for all scalar rules, one for each unique rule. ValueError, before any action, if they need more than ``max_actions``."""
     scalars = [r for r in rules if r.kind != "unique"]
+    needed = bool(scalars) + len(rules) - len(scalars)
+    if max_actions is not None and needed > max_actions:
+        raise ValueError(f"the rules need {needed} actions, more than max_actions={max_actions}")
     out = []
     if scalars:
         level = {r.name: r.severity for r in scalars}

@@ -280,3 +280,13 @@ def test_interval_stream(spark, tmp_path):
         query.awaitTermination()
     out = [(r["key"], r["periods"], r["gaps"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert (1, ["0-8", "10-12"], ["9-9"]) in out and (2, ["1-1"], []) in out and (1, ["0-5", "10-12"], ["6-9"]) in out
+
+
+def test_rules_beyond_the_budget_of_actions_are_refused(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "id int, v string")
+    rules = [dq.Rule("nn", "not_null", "id"), dq.Rule("u", "unique", columns=["id"]), dq.Rule("w", "unique", columns=["v"])]
+    for few in (0, 1, 2):
+        with pytest.raises(ValueError, match="need 3 actions"):
+            dq.run_rules(df, rules, max_actions=few)
+    assert [(o.rule, o.ok) for o in dq.run_rules(df, rules, max_actions=3)] == [("nn", True), ("u", False), ("w", True)]
+    assert dq.run_rules(df, [], max_actions=0) == []

@@ -157,6 +157,28 @@ def scd1_noop(spark, folder) -> DataFrame:
     return dim.overwrite_merge(target, target.drop("__is_deleted"), ["order_id"]).groupBy(F.col("__action").alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _whole(spark, folder) -> DataFrame:
+    return order_feed(spark, folder).select("order_id", "status", "at", "_change_type", "_commit_version")
+
+
+_WHOLE = f"""WITH {_FEED},
+a AS (SELECT order_id, status, t FROM feed QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY v DESC, t <> 'delete' DESC, moment DESC, status DESC NULLS LAST) = 1),
+a1 AS (SELECT order_id, status FROM a WHERE t <> 'delete')"""
+
+
+@query("scd1_initial_whole", _WHOLE + " SELECT order_id, status, 'insert' AS action FROM a1")
+def scd1_initial_whole(spark, folder) -> DataFrame:
+    """The initial load of the whole feed; ``scd1_initial`` has the part before the cut."""
+    return dim.overwrite_merge(_no_orders(spark), _whole(spark, folder), ["order_id"], tie=_TIE).select("order_id", "status", F.col("__action").alias("action"))
+
+
+@query("scd1_noop_whole", _WHOLE + " SELECT 'keep' AS action, count(*) AS n FROM a1 HAVING count(*) > 0")
+def scd1_noop_whole(spark, folder) -> DataFrame:
+    """The whole feed's orders again change nothing; ``scd1_noop`` has those before the cut."""
+    target = dim.applied(dim.overwrite_merge(_no_orders(spark), _whole(spark, folder), ["order_id"], tie=_TIE))
+    return dim.overwrite_merge(target, target.drop("__is_deleted"), ["order_id"]).groupBy(F.col("__action").alias("action")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("scd1_delete_hard", _HALVES + """ SELECT coalesce(b.order_id, a1.order_id) AS order_id, CASE WHEN b.order_id IS NULL THEN a1.status ELSE b.status END AS status
 FROM a1 FULL JOIN b ON a1.order_id = b.order_id WHERE b.t IS NULL OR b.t <> 'delete'""")
 def scd1_delete_hard(spark, folder) -> DataFrame:

@@ -290,3 +290,13 @@ def test_rules_beyond_the_budget_of_actions_are_refused(spark):
             dq.run_rules(df, rules, max_actions=few)
     assert [(o.rule, o.ok) for o in dq.run_rules(df, rules, max_actions=3)] == [("nn", True), ("u", False), ("w", True)]
     assert dq.run_rules(df, [], max_actions=0) == []
+
+
+def test_initial_load_and_noop_of_the_whole_feed(spark, tmp_path):
+    from orrery.queries.warehouse import scd1_initial_whole, scd1_noop_whole
+
+    rows = [(1, "open", "2024-01-01", "insert", 1), (1, "paid", "2024-09-01", "update_postimage", 3), (2, "open", "2024-09-01", "insert", 3), (3, "open", "2024-01-01", "insert", 1), (3, "open", "2024-09-02", "delete", 4)]
+    feed = spark.createDataFrame(rows, "order_id int, status string, updated_at string, _change_type string, _commit_version bigint")
+    feed.withColumn("_commit_timestamp", F.col("updated_at").cast("timestamp_ntz")).write.parquet(str(tmp_path / "order_feed.parquet"))
+    assert sorted(tuple(r) for r in scd1_initial_whole(spark, str(tmp_path)).collect()) == [(1, "paid", "insert"), (2, "open", "insert")]
+    assert [tuple(r) for r in scd1_noop_whole(spark, str(tmp_path)).collect()] == [("keep", 2)]

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import time
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators.history import attribute_hash
-from orrery.runtime import delete, fresh_path
+from orrery.runtime import cut, delete, drop_cut, fresh_path, refuse_object_store
 
 
 class KeyHashState:
@@ -17,10 +17,13 @@ class KeyHashState:
 
     A version is a Parquet table ``v=N`` and takes effect with the marker file ``_live/N``, which is created exclusively:
     of two runs that swap at once one fails, and a run that dies before its marker leaves the former version in force; what it claimed is free again after ``patience`` seconds.
+    A claim that was taken over is noticed by its first owner, who fails before anything of the new owner's is touched: every run writes into a folder of its own,
+    whose name the marker holds. Needs a file system with exclusive create (local, HDFS and the like); object stores are refused.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], patience: float = 60.0):
         self.spark, self.path, self.keys, self.patience = spark, path.rstrip("/"), keys, patience
+        refuse_object_store(self.path)
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
 
@@ -31,47 +34,83 @@ class KeyHashState:
             return 0
         return max((int(x.getPath().getName()) for x in self._fs.listStatus(live) if x.getPath().getName().isdigit()), default=0)
 
-    def read(self) -> DataFrame | None:
-        """Keys and ``content_hash`` in force; None before the first version."""
-        n = self.version()
-        return self.spark.read.parquet(f"{self.path}/v={n}") if n else None
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """Keys and ``content_hash`` in force (or of a version); None before the first version."""
+        n = self.version() if version is None else version
+        return self.spark.read.parquet(f"{self.path}/{self._text(f'_live/{n}')}") if n else None
 
     def swap(self, state: DataFrame, expected: int) -> int:
         """Write ``state`` as the version after ``expected`` and put it in force. FileExistsError if another run was first."""
-        target = f"{self.path}/v={expected + 1}"
-        written = f"{target}.{fresh_path(self.spark, 'w').rsplit('-', 1)[1]}"
-        state.write.parquet(written)
-        marker = self._path(f"{self.path}/_live/{expected + 1}")
-        claim = self._path(f"{self.path}/_claim/{expected + 1}")
-        if not self._exclusive(claim) and not self._take_over(claim, marker):
-            delete(self.spark, written)
-            raise FileExistsError(f"version {expected + 1} of {self.path} was swapped in by another run")
-        delete(self.spark, target)  # of a run that died after its claim
-        self._fs.rename(self._path(written), self._path(target))
-        self._exclusive(marker)
-        return expected + 1
-
-    def _take_over(self, claim, marker) -> bool:
+        n, own = expected + 1, uuid.uuid4().hex
+        folder = f"v={n}.{own}"
+        state.write.parquet(f"{self.path}/{folder}")
+        marker, claim = f"_live/{n}", f"_claim/{n}"
+        lost = FileExistsError(f"version {n} of {self.path} was swapped in by another run")
+        if self.version() != expected or not (self._exclusive(claim, own) or self._take_over(claim, marker, own)):
+            delete(self.spark, f"{self.path}/{folder}")
+            raise lost
+        # the marker appears whole, by a rename, which fails where one is there
+        part = f"_live/.{own}"
+        self._exclusive(part, folder)
+        if self._text(claim) != own or not self._fs.rename(self._path(f"{self.path}/{part}"), self._path(f"{self.path}/{marker}")) or self._text(marker) != folder:
+            self._fs.delete(self._path(f"{self.path}/{part}"), False)
+            delete(self.spark, f"{self.path}/{folder}")
+            raise lost
+        return n
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete the folders of all but the newest ``keep`` versions; their markers stay."""
+        for n in range(1, self.version() - keep + 1):
+            delete(self.spark, f"{self.path}/{self._text(f'_live/{n}')}")
+
+    def _take_over(self, claim: str, marker: str, own: str) -> bool:
         """Whether a claim is dead (old, and its version never came into force) and could be claimed anew."""
-        if self._fs.exists(marker) or not self._fs.exists(claim) or time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 < self.patience:
+        at = self._path(f"{self.path}/{claim}")
+        if self._fs.exists(self._path(f"{self.path}/{marker}")) or not self._fs.exists(at) or time.time() - self._fs.getFileStatus(at).getModificationTime() / 1000 < self.patience:
             return False
-        self._fs.delete(claim, False)
-        return self._exclusive(claim)
+        self._fs.delete(at, False)
+        return self._exclusive(claim, own)
 
-    def _exclusive(self, path) -> bool:
+    def _exclusive(self, name: str, text: str) -> bool:
+        """Create a file that isn't there; False if it is."""
         try:
-            self._fs.create(path, False).close()
-            return True
+            out = self._fs.create(self._path(f"{self.path}/{name}"), False)
         except Exception as e:  # noqa: BLE001 - py4j wraps the file system's own class
             if "FileAlreadyExists" in str(e) or "already exists" in str(e):
                 return False
             raise
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        return True
+
+    def _text(self, name: str) -> str:
+        stream = self._fs.open(self._path(f"{self.path}/{name}"))
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")  # noqa: SLF001
+        finally:
+            stream.close()
+
 
+def content_hash(columns: list[str]) -> Column:
+    """BIGINT hash of several columns in which NULL differs from every value."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
 
-def hashed_records(rows: DataFrame, keys: list[str], content: list[str]) -> DataFrame:
-    """Rows once per key with ``content_hash``; of rows equal in key but not in content the largest hash counts. NULL keys are kept as a key."""
-    digest = attribute_hash([F.col(c) for c in content])
-    return rows.select(*keys, digest.alias("content_hash")).groupBy(*keys).agg(F.max("content_hash").alias("content_hash"))
+
+def hashed_records(rows: DataFrame, keys: list[str], content: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows once per key with ``content_hash``; NULL keys are kept as a key.
+
+    With ``order`` a key's latest row counts (the largest ``order`` columns, then the largest hash). Without, its rows have no order and the
+    hash is one of the set of its different contents: whatever content is added or disappears changes it, repeated rows don't.
+    """
+    hashed = rows.select(*keys, *(order or []), content_hash(content).alias("__h"))
+    if order:
+        return hashed.groupBy(*keys).agg(F.max(F.struct(*order, "__h")).alias("__m")).select(*keys, F.col("__m.__h").alias("content_hash"))
+    # different contents of a key: summed as decimals, since a sum of BIGINT might overflow
+    once = hashed.groupBy(*keys, "__h").agg(F.lit(1).alias("__one"))
+    summed = once.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col("__h").cast("decimal(20,0)")).alias("__s"), F.first("__h").alias("__h"))
+    return summed.select(*keys, F.when(F.col("__n") == 1, F.col("__h")).otherwise(F.xxhash64("__n", "__s")).alias("content_hash"))
 
 
 def _same(keys: list[str], a: DataFrame, b: DataFrame) -> Column:
@@ -81,12 +120,12 @@ def _same(keys: list[str], a: DataFrame, b: DataFrame) -> Column:
     return out
 
 
-def new_or_changed(rows: DataFrame, keys: list[str], content: list[str], state: DataFrame | None) -> DataFrame:
+def new_or_changed(rows: DataFrame, keys: list[str], content: list[str], state: DataFrame | None, order: list[str] | None = None) -> DataFrame:
     """Keys and ``content_hash`` of the records that ``state`` lacks or holds with other content. An empty table has none.
 
-    Rows are combined per key before the join, so a key with many rows is one row there.
+    Rows are combined per key before the join (see ``hashed_records``), so a key with many rows is one row there, and an older row of a key never hides a newer one.
     """
-    current = hashed_records(rows, keys, content)
+    current = hashed_records(rows, keys, content, order)
     if state is None:
         return current
     known = state.select(*[F.col(k).alias(f"__s_{k}") for k in keys], F.col("content_hash").alias("__s_hash"))
@@ -103,14 +142,15 @@ def merged_state(state: DataFrame | None, processed: DataFrame, keys: list[str])
 
 
 @contextmanager
-def incremental_run(state: KeyHashState, rows: DataFrame, content: list[str]):
+def incremental_run(state: KeyHashState, rows: DataFrame, content: list[str], order: list[str] | None = None):
     """``with incremental_run(state, rows, content) as todo:`` gives the new and changed records and, if the body ends well, swaps the state.
 
     If the body fails the state stays as it was, and the next run gives the same records again; after the swap none of them.
     """
-    n, before = state.version(), state.read()
+    n = state.version()
+    before = state.read(n)
     path = fresh_path(state.spark, "todo")
-    new_or_changed(rows, state.keys, content, before).write.parquet(path)
+    new_or_changed(rows, state.keys, content, before, order).write.parquet(path)
     todo = state.spark.read.parquet(path)
     try:
         yield todo
@@ -142,23 +182,25 @@ def watermarks(control: DataFrame) -> DataFrame:
 
 
 def pending_changes(control: DataFrame, changes: DataFrame, path: str) -> DataFrame:
-    """(target_table, source_table, change_id) of every committed change that a pair has not processed, once each.
+    """(target_table, source_table, change_id) of every committed change that a pair has not processed, once each; processes them.
 
-    The pairs' watermarks say what was processed before key-and-hash state was kept: those changes become the first version of
-    the state below ``path``. Then the ordinary step follows: the committed changes above the watermark (all, if there is none) are hashed and
-    joined with the state, and those it lacks, or holds with other content, come out; the version is content, so a change delivered again above
-    the watermark comes out too. Uncommitted changes (NULL version) and sources of no pair have no row.
+    A whole run over the state below ``path``. Where there is none yet, the pairs' watermarks say what was processed before key-and-hash state was kept: of each
+    change the latest delivery at or below the pair's watermark becomes the state's first version. Then the ordinary run follows: the changes' current deliveries are
+    hashed and joined with the state, those it lacks or holds with other content (the version is content, so a change delivered again above the watermark counts)
+    are written out, and the state with them is swapped in. A run that dies before the swap gives the same changes again, a further run none of them.
+    Uncommitted changes (NULL version) and sources of no pair have no row. NULL change ids are a change.
     """
-    marks = watermarks(control)
-    keys = ["target_table", "source_table", "change_id"]
-    content = ["_change_type", "_commit_version", "payload"]
+    keys, content, order = ["target_table", "source_table", "change_id"], ["_change_type", "_commit_version", "payload"], ["_commit_version"]
+    marks = cut(watermarks(control), "marks")  # a row per pair
     committed = (
         changes.filter(F.col("_commit_version").isNotNull())
         .select(plain_name(F.col("source_table")).alias("__source"), "change_id", *content)
         .join(marks, F.col("__source") == F.col("source_table"))
     )
     state = KeyHashState(changes.sparkSession, path, keys)
-    done = committed.filter(F.col("_commit_version") <= F.col("watermark"))
-    state.swap(hashed_records(done, keys, content), state.version())
-    pending = committed.filter(F.col("watermark").isNull() | (F.col("_commit_version") > F.col("watermark")))
-    return new_or_changed(pending, keys, content, state.read()).select(*keys)
+    if state.version() == 0:
+        state.swap(hashed_records(committed.filter(F.col("_commit_version") <= F.col("watermark")), keys, content, order), 0)
+    with incremental_run(state, committed, content, order) as todo:
+        out = cut(todo.select(*keys), "pending")
+    drop_cut(marks)
+    return out

@@ -20,13 +20,16 @@ _FOLDERS: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset (tests, single machine) a
-    temporary folder of this machine is made and set. The folder is deleted when Python ends.
+    The setting is read from the session. Only where it is unset and Spark runs in one process (tests, single machine) a
+    temporary folder of this machine is made and set; on a cluster that would be another disk for every executor, so there
+    RuntimeError asks for the setting. The folder is deleted when Python ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         base = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="orrery-")
             spark.conf.set(_SETTING, base)
         _FOLDERS[app] = f"{base.rstrip('/')}/orrery-{uuid.uuid4().hex}"
@@ -34,6 +37,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
+#: Stores without exclusive create and atomic rename.
+OBJECT_STORES = ("s3", "s3a", "s3n", "gs", "oss", "cos", "cosn", "wasb", "wasbs", "swift")
+
+
+def refuse_object_store(path: str) -> None:
+    """ValueError where files can't be created exclusively and renamed at once, on which commits rest."""
+    scheme = path.split("://", 1)[0] if "://" in path else ""
+    if scheme in OBJECT_STORES:
+        raise ValueError(f"{scheme} has no exclusive create and atomic rename; use a local, HDFS or other file system that has: {path}")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

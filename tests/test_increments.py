@@ -39,7 +39,7 @@ def test_claim_of_a_dead_run_is_taken_over(spark):
     path = fresh_path(spark, "t")
     state = KeyHashState(spark, path, ["id"])
     done = hashed_records(rows(spark, (1, "x", 1)), ["id"], ["a"])
-    assert state._exclusive(state._path(f"{path}/_claim/1"))
+    assert state._exclusive("_claim/1", "dead")
     done.write.parquet(f"{path}/v=1")  # it died after its data were in place
     with pytest.raises(FileExistsError):
         state.swap(done, 0)
@@ -48,6 +48,45 @@ def test_claim_of_a_dead_run_is_taken_over(spark):
     assert state.read().count() == 1
 
 
+def test_a_newer_row_is_never_hidden_by_an_older_one(spark):
+    """20 keys, each with a processed row and a newer one: all 20 come out, in order or not, and once."""
+    keys = F.col("id").cast("int").alias("id")
+    old, new = (spark.range(20).select(keys, F.concat(F.lit(v), F.col("id").cast("string")).alias("a"), F.lit(n).alias("b")) for v, n in (("x", 3), ("y", 7)))
+    for order in (None, ["b"]):
+        state = KeyHashState(spark, fresh_path(spark, "t"), ["id"])
+        with incremental_run(state, old, ["a"], order) as todo:
+            assert todo.count() == 20
+        both = old.unionByName(new).unionByName(new)
+        with incremental_run(state, both, ["a"], order) as todo:
+            assert todo.count() == 20
+        with incremental_run(state, both.repartition(3), ["a"], order) as todo:
+            assert todo.count() == 0
+
+
+def test_the_first_owner_of_a_claim_that_was_taken_over_fails(spark):
+    path = fresh_path(spark, "t")
+    slow, other = KeyHashState(spark, path, ["id"]), KeyHashState(spark, path, ["id"], patience=0)
+    a, b = (hashed_records(rows(spark, (i, "x", 1)), ["id"], ["a"]) for i in (1, 2))
+    paused = slow._text
+
+    def meanwhile(name):  # another run takes the claim over before the first owner goes on
+        slow._text = paused
+        assert other.swap(b, 0) == 1
+        return paused(name)
+
+    slow._text = meanwhile
+    with pytest.raises(FileExistsError):
+        slow.swap(a, 0)
+    assert slow.version() == 1 and [r["id"] for r in slow.read().collect()] == [2]
+    with pytest.raises(ValueError):
+        KeyHashState(spark, "s3a://bucket/state", ["id"])
+
+
+def test_hash_tells_null_from_values_and_places(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, "a", None), (3, "", "a"), (4, "a", "")], "id int, x string, y string")
+    assert hashed_records(df, ["id"], ["x", "y"]).select("content_hash").distinct().count() == 4
+
+
 def test_empty_input(spark):
     state = KeyHashState(spark, fresh_path(spark, "t"), ["id"])
     with incremental_run(state, rows(spark), ["a"]) as todo:
@@ -79,3 +118,15 @@ def test_changes_delivered_again_above_the_watermark_are_pending(spark):
     old, new = (spark.range(50).select(*ids, F.lit(v).cast("bigint").alias("_commit_version"), F.col("id").cast("string").alias("payload")) for v in (7, 12))
     got = pending_changes(control, old.unionByName(new.filter("change_id < 40")), fresh_path(spark, "s")).collect()
     assert sorted(tuple(r) for r in got) == [("t", "s", i) for i in range(40)]
+
+
+def test_pending_changes_are_processed_once(spark):
+    """The cycle: two runs over one state give every pending change once; a later delivery comes out again, and only it."""
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    control = spark.range(1).select(F.lit("t").alias("target_table"), F.lit("s").alias("source_table"), F.lit("b").alias("batch_id"), at.alias("updated_at"), at.alias("batch_completed_at"), F.lit("SUCCESS").alias("batch_status"), F.lit(5).cast("bigint").alias("last_processed_version"))
+    one = lambda ids, v: ids.select(F.col("id").alias("change_id"), F.lit("s").alias("source_table"), F.lit("update").alias("_change_type"), F.lit(v).cast("bigint").alias("_commit_version"), F.lit("{}").alias("payload"))
+    both, path = one(spark.range(20), 3).unionByName(one(spark.range(20), 7)), fresh_path(spark, "s")
+    assert pending_changes(control, both, path).count() == 20
+    assert pending_changes(control, both, path).count() == 0
+    later = both.unionByName(one(spark.range(4), 9)).unionByName(one(spark.range(20, 23), 4))
+    assert sorted(r["change_id"] for r in pending_changes(control, later, path).collect()) == [0, 1, 2, 3, 20, 21, 22]

@@ -12,7 +12,6 @@ from orrery.functions.keys import MEMBERS, NULL_JUNK, STATUS, VALID_FROM, VALID_
 from orrery.functions.times import stamp_us
 from orrery.operators.feed import META, dedup_upsert_wins, evolve, full_outer
 from orrery.operators.hot import LEAST, SHARE, neighbours, split_hot
-from orrery.runtime import cut
 
 SYSTEM = ("__valid_from", "__valid_to", "__is_current", "__is_deleted", "__is_skeleton", "hashdiff")
 
@@ -83,71 +82,76 @@ def versioned_merge(target: DataFrame, source: DataFrame, keys: Sequence[str], *
     """Type 2: the dimension after the merge, one row per version with half-open validity.
 
     ``target`` has ``sk``, keys, ``attributes`` (default: ``tracked``) and the system columns (``empty_versions`` makes an empty one); ``source`` rows take effect at ``at``, in ``_commit_version`` order
-    where instants are equal (a feed's deletes end the current version). All versions of a touched key and all its incoming rows form one chain in
+    where instants are equal (a feed's deletes end the current version). All versions of a key, the ends of those that were deleted, and its incoming rows form one chain in
     order of effect; an incoming row whose tracked hash equals that of the version before it is dropped, every other opens a version that closes the one before it. Hence several versions in
     one batch give the same table as one after the other, and replays change nothing. A late row splits the interval it falls into; existing versions
-    keep their key and stay, even where a late row makes one a repeat.
+    keep their key and stay, even where a late row makes one a repeat, and none ever ends later than it did. Versions of one key start at different moments (their key is made of both).
 
     A skeleton is filled in place by the incoming row in force at its start, else the next one: key and start stay. With ``full_snapshot`` the current versions (not skeletons and reserved members) of keys
-    that the source lacks end at ``as_of`` as deleted. Rows with NULL ``at`` are left out; NULL keys are a key. Keys that no row touches pass through unread.
+    that the source lacks end at ``as_of`` as deleted. Rows with NULL ``at`` are left out; NULL keys are a key.
+
+    The target is read once and shuffled once, with the incoming rows; all else happens on the sorted partitions of the keys. Give the part of the target
+    that can hold the source's keys (``VersionedTable.touched``), and materialise it and the source first if they are long to compute.
     """
     attributes = list(attributes or tracked)
     version = F.coalesce(F.col("_commit_version"), F.lit(-1)).cast("bigint") if "_commit_version" in source.columns else F.lit(0).cast("bigint")
     kind = target.schema["__valid_to"].dataType
-    incoming = source.filter(F.col(at).isNotNull()).select(
-        *keys, F.col(at).alias("__valid_from"), moment_us(source, at).alias("__us"), version.alias("__v"), _is_delete(source).alias("__gone"), F.struct(*attributes).alias("__a"), hashdiff(tracked, strategy).alias("hashdiff"),
-        F.lit(None).cast("bigint").alias("__sk"), F.lit(False).alias("__sx"), F.lit(None).cast(kind).alias("__ended"),
+    usable = source.filter(F.col(at).isNotNull())
+    none = F.lit(None).cast(kind)
+    incoming = usable.select(
+        *keys, F.col(at).cast(kind).alias("__valid_from"), moment_us(source, at).alias("__us"), version.alias("__v"), _is_delete(source).alias("__gone"), F.struct(*attributes).alias("__a"), hashdiff(tracked, strategy).alias("hashdiff"),
+        F.lit(False).alias("__sx"), F.struct(F.lit(None).cast("bigint").alias("sk"), none.alias("until"), F.lit(None).cast("boolean").alias("now"), F.lit(None).cast("boolean").alias("gone")).alias("__o"),
     )
-    incoming = cut(incoming, "incoming")  # used three times; the source may be long to compute
-    touched = incoming.select(*[F.col(k).alias(f"__k_{k}") for k in keys]).distinct()
-
-    def on(df: DataFrame) -> Column:
-        out = F.lit(True)
-        for k in keys:
-            out &= df[k].eqNullSafe(touched[f"__k_{k}"])
-        return out
-
-    versions, rest = target.join(touched, on(target), "left_semi"), target.join(touched, on(target), "left_anti")
     if full_snapshot:
-        ends = F.col("__is_current") & ~F.col("__is_skeleton") & ~F.col(sk).isin(*MEMBERS)
+        given = usable.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.lit(True).alias("__given")).distinct()
+        same = F.lit(True)
+        for k in keys:
+            same &= target[k].eqNullSafe(given[f"__k_{k}"])
+        ends = F.col("__given").isNull() & F.col("__is_current") & ~F.col("__is_skeleton") & ~F.col(sk).isin(*MEMBERS)
         when = as_of if as_of is not None else F.current_timestamp()
-        rest = rest.withColumns({"__valid_to": F.when(ends, when.cast(kind)).otherwise(F.col("__valid_to")), "__is_deleted": F.col("__is_deleted") | ends, "__is_current": F.col("__is_current") & ~ends})
-    old = versions.select(
-        *keys, "__valid_from", moment_us(versions, "__valid_from").alias("__us"), F.lit(-2).cast("bigint").alias("__v"), F.lit(False).alias("__gone"), F.struct(*attributes).alias("__a"),
-        hashdiff(tracked, strategy).alias("hashdiff"), F.col(sk).alias("__sk"), F.col("__is_skeleton").alias("__sx"), F.when(F.col("__is_deleted"), F.col("__valid_to")).alias("__ended"),
-    )
+        marked = target.join(given, same, "left").select(*target.columns, F.coalesce(ends, F.lit(False)).alias("__ends"))
+        target = marked.withColumns({"__valid_to": F.when(F.col("__ends"), when.cast(kind)).otherwise(F.col("__valid_to")), "__is_deleted": F.col("__is_deleted") | F.col("__ends"), "__is_current": F.col("__is_current") & ~F.col("__ends")}).drop("__ends")
+    # a version that was deleted brings the end of its validity along as a row of the chain
+    until = moment_us(target, "__valid_to")
+    row = lambda start, us_, v, gone, skeleton, known: F.struct(start.alias("__valid_from"), us_.alias("__us"), F.lit(v).cast("bigint").alias("__v"), F.lit(gone).alias("__gone"), F.struct(*attributes).alias("__a"), hashdiff(tracked, strategy).alias("hashdiff"), skeleton.alias("__sx"), known.alias("__o"))
+    o = F.struct(F.col(sk).cast("bigint").alias("sk"), F.col("__valid_to").alias("until"), F.col("__is_current").alias("now"), F.col("__is_deleted").alias("gone"))
+    itself = row(F.col("__valid_from"), moment_us(target, "__valid_from"), -2, False, F.col("__is_skeleton"), o)
+    its_end = row(F.col("__valid_to"), until, -3, True, F.lit(False), F.lit(None).cast(incoming.schema["__o"].dataType))
+    old = target.select(*keys, F.explode(F.when(F.col("__is_deleted"), F.array(itself, its_end)).otherwise(F.array(itself))).alias("x")).select(*keys, "x.*")
     # one shuffle: one row per instant, its neighbours and the closing all run on the partitions of the keys
-    split = split_hot(old.unionByName(incoming), list(keys), "__us", share, least)
-    image = F.struct("__valid_from", "__v", "__gone", "__a", "hashdiff", "__sx", "__ended")
+    split = split_hot(old.unionByName(incoming), list(keys), "__us", share, least, target.select(*keys).unionByName(source.select(*keys)))
+    image = F.struct("__valid_from", "__v", "__gone", "__a", "hashdiff", "__sx")
     # an incoming row replaces a version that starts at the same moment, and takes its key
     chain = (
         split.df.repartition(*split.parts)
         .groupBy(*split.parts, "__us")
-        .agg(F.max_by(image, F.struct("__v", "__gone", "hashdiff")).alias("m"), F.max("__sk").alias("__sk"))
-        .select(*split.parts, "__us", "m.*", "__sk")
+        .agg(F.max_by(image, F.struct("__v", "__gone", "hashdiff")).alias("m"), F.max("__o").alias("__o"))
+        .select(*split.parts, "__us", "m.*", "__o")
     )
     # a skeleton takes the attributes in force at its start, else those that come next; a row that repeats them is dropped below
     chain = chain.withColumn("__w", F.when(~F.col("__gone") & ~F.col("__sx"), F.struct("__a", "hashdiff")))
     around = neighbours(chain, split, ["__us"], lag={"__lag_w": "__w"}, lead={"__lead_w": "__w"})
     fill = F.when(F.col("__sx"), F.coalesce("__lag_w", "__lead_w"))
     filled = around.select(
-        *split.parts, "__us", "__valid_from", "__gone", F.coalesce(fill["__a"], F.col("__a")).alias("__a"), F.coalesce(fill["hashdiff"], F.col("hashdiff")).alias("hashdiff"),
-        (F.col("__sx") & fill.isNull()).alias("__sx"), "__ended", "__sk",
+        *split.parts, "__us", "__valid_from", "__gone", F.coalesce(fill["__a"], F.col("__a")).alias("__a"), F.coalesce(fill["hashdiff"], F.col("hashdiff")).alias("hashdiff"), (F.col("__sx") & fill.isNull()).alias("__sx"), "__o",
     )
-    seen = neighbours(filled, split, ["__us"], lag={"__before": "hashdiff", "__before_gone": "__gone", "__before_ended": "__ended"})
-    repeated = (F.col("__before") == F.col("hashdiff")) & ~F.col("__before_gone") & F.col("__before_ended").isNull() & F.col("__sk").isNull() & ~F.col("__gone")
+    filled = filled.withColumn("__until", F.col("__o.until"))
+    seen = neighbours(filled, split, ["__us"], lag={"__before": "hashdiff", "__before_gone": "__gone", "__before_until": "__until"})
+    in_force = F.col("__before_until").isNull() | (F.col("__before_until") > F.col("__valid_from"))
+    known = F.col("__o.sk").isNotNull()
+    repeated = (F.col("__before") == F.col("hashdiff")) & ~F.col("__before_gone") & in_force & ~known & ~F.col("__gone")
     again = F.col("__gone") & F.col("__before").isNull()
-    kept = seen.filter(~F.coalesce(repeated, F.lit(False)) & ~F.coalesce(again, F.lit(False))).drop("__before", "__before_gone", "__before_ended")
+    kept = seen.filter(~F.coalesce(repeated, F.lit(False)) & ~F.coalesce(again, F.lit(False))).drop("__before", "__before_gone", "__before_until")
     closed = neighbours(kept, split, ["__us"], lead={"__next": "__valid_from", "__next_gone": "__gone"}).filter(~F.col("__gone"))
-    # a version that had ended before stays ended unless something starts earlier
-    end = F.least(F.coalesce(F.col("__next"), F.lit(VALID_TO).cast(kind)), F.coalesce(F.col("__ended"), F.lit(VALID_TO).cast(kind)))
-    deleted = F.coalesce(F.col("__next_gone"), F.lit(False)) | F.col("__ended").isNotNull()
+    forever = F.lit(VALID_TO).cast(kind)
+    end = F.least(F.coalesce(F.col("__next"), forever), F.coalesce(F.col("__o.until"), forever))
+    deleted = F.coalesce(F.col("__next_gone"), F.lit(False)) | F.coalesce(F.col("__o.gone"), F.lit(False))
+    now = F.col("__next").isNull() & F.coalesce(F.col("__o.now"), F.lit(True))
     merged = closed.select(
-        F.col("__sk"), *keys, *[F.col(f"__a.`{c}`").alias(c) for c in attributes], "__valid_from", end.alias("__valid_to"),
-        (F.col("__next").isNull() & F.col("__ended").isNull()).alias("__is_current"), deleted.alias("__is_deleted"), F.col("__sx").alias("__is_skeleton"), "hashdiff",
+        *keys, *[F.col(f"__a.`{c}`").alias(c) for c in attributes], "__valid_from", end.alias("__valid_to"),
+        now.alias("__is_current"), deleted.alias("__is_deleted"), F.col("__sx").alias("__is_skeleton"), "hashdiff", F.col("__o.sk").alias("__sk"),
     ).withColumn(sk, F.coalesce(F.col("__sk"), surrogate_key(keys, "__valid_from", strategy)))
-    columns = [sk, *keys, *attributes, *SYSTEM]
-    return merged.select(*columns).unionByName(rest.select(*columns))
+    return merged.select(sk, *keys, *attributes, *SYSTEM)
 
 
 def with_dual_keys(versions: DataFrame, keys: Sequence[str], strategy: str = "xxhash64") -> DataFrame:

@@ -14,7 +14,7 @@ from orrery.operators import quality as dq
 from orrery.operators.history import loose, merge_history
 from orrery.queries import query, table
 from orrery.queries.dealt import _sql_loose, sql_us
-from orrery.runtime import fresh_path
+from orrery.runtime import cut, fresh_path
 
 #: Where the queries cut the tables' history into what was there and what arrives.
 CUT = "2024-06-01 00:00:00"
@@ -204,8 +204,8 @@ def _versions(spark, folder) -> DataFrame:
 
 def _merge(target: DataFrame | None, source: DataFrame, **more) -> DataFrame:
     tracked = ["address", "email"]
-    if target is None:
-        target = dim.empty_versions(source, ["customer_id"], tracked, "eff")
+    # as in a warehouse, what a merge starts from is a table
+    target = dim.empty_versions(source, ["customer_id"], tracked, "eff") if target is None else cut(target, "dimension")
     return dim.versioned_merge(target, source, ["customer_id"], at="eff", tracked=tracked, strategy="portable", **more)
 
 

@@ -9,12 +9,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _FOLDERS: dict[str, str] = {}
+_SCRATCH: ContextVar[str | None] = ContextVar("orrery_scratch", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,8 +52,8 @@ def refuse_object_store(path: str) -> None:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder (in a ``scratch`` block, in the block's folder) that nothing uses yet."""
+    return f"{_SCRATCH.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -62,6 +65,21 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Within the block cuts go to a folder of their own, which is deleted at its end: for work that leaves nothing but tables elsewhere, such as a run or a micro-batch."""
+    shared_folder(spark)
+    app = spark.sparkContext.applicationId
+    outer = _FOLDERS[app]
+    own = f"{outer}/run-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(own)
+    try:
+        yield own
+    finally:
+        _SCRATCH.reset(token)
+        _delete_quietly(spark, own)
+
+
 def counted_cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, int]:
     """A ``cut`` and its number of rows, counted while they are written."""
     seen = Observation()
@@ -69,6 +87,22 @@ def counted_cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
+#: Bytes of files up to which a written table is broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def bytes_of(df: DataFrame) -> int:
+    """The size of a cut's files."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._orrery_path)  # noqa: SLF001
+    return path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()  # noqa: SLF001
+
+
+def broadcast_if_small(cut_: DataFrame, rows: DataFrame | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` (made of a cut without joins; by default the cut itself), to be broadcast if the cut's files are no larger than ``limit``; else the join is left to Spark."""
+    rows = cut_ if rows is None else rows
+    return F.broadcast(rows) if bytes_of(cut_) <= limit else rows
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a cut that no later result needs."""
     if path := getattr(df, "_orrery_path", None):

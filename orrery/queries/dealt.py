@@ -72,10 +72,10 @@ _VERSIONS = f"SELECT DISTINCT customer_id, {sql_us('updated_at')} AS us FROM cus
 _EVENTS = f"SELECT DISTINCT order_id, customer_id, {sql_us('order_date')} AS at FROM order_headers"
 
 
-def _asof(spark, folder) -> DataFrame:
+def _asof(spark, folder, *carry: str) -> DataFrame:
     orders = table(spark, folder, "order_headers").select("order_id", "customer_id", instant_us(F.col("order_date")).alias("at")).distinct()
-    changes = table(spark, folder, "customers").select("customer_id", instant_us(F.col("updated_at")).alias("us"))
-    return asof_join(orders, changes, entity="customer_id", event_at="at", change_entity="customer_id", change_at="us")
+    changes = table(spark, folder, "customers").select("customer_id", instant_us(F.col("updated_at")).alias("us"), *carry, *(["_commit_version"] if carry else []))
+    return asof_join(orders, changes, entity="customer_id", event_at="at", change_entity="customer_id", change_at="us", carry=carry, tie=["_commit_version"] if carry else [])
 
 
 @query("p2_found", f"""
@@ -94,11 +94,8 @@ a AS (SELECT customer_id, {sql_us("updated_at")} AS us, email, address, _commit_
 SELECT f.order_id, f.at AS order_at_us, f.customer_id, f.us AS known_at_us, a.email, a.address FROM f JOIN a ON a.customer_id = f.customer_id AND a.us = f.us
 """)
 def p2_attributes(spark, folder) -> DataFrame:
-    """Orders with the e-mail and address known at their date."""
-    found = _asof(spark, folder).select("order_id", F.col("at").alias("order_at_us"), "customer_id", F.col("known_at").alias("known_at_us"))
-    rows = table(spark, folder, "customers").select(F.col("customer_id").alias("c"), instant_us(F.col("updated_at")).alias("u"), "email", "address", "_commit_version")
-    version = rows.groupBy("c", "u").agg(F.max(F.struct("_commit_version", "email", "address")).alias("a"))
-    return found.join(version, (F.col("c") == F.col("customer_id")) & (F.col("u") == F.col("known_at_us"))).select(*found.columns, "a.email", "a.address")
+    """Orders with the e-mail and address known at their date, carried by the validity intervals."""
+    return _asof(spark, folder, "email", "address").select("order_id", F.col("at").alias("order_at_us"), "customer_id", F.col("known_at").alias("known_at_us"), "email", "address")
 
 
 @query("p3_found", f"""

@@ -11,6 +11,7 @@ from orrery.operators import dimensions as dim
 from orrery.operators import facts as fct
 from orrery.operators import feed as fd
 from orrery.operators import quality as dq
+from orrery.operators.asof import interval_join
 from orrery.operators.history import loose, merge_history
 from orrery.queries import query, table
 from orrery.queries.dealt import _sql_loose, sql_us
@@ -47,8 +48,8 @@ def revenue_by_segment_asof(spark, folder) -> DataFrame:
     segments = merge_history(orders, key="o_custkey", at="at", tracked=["o_orderpriority"], tie=["o_orderkey"])
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount", us("l_shipdate").alias("shipped"))
     facts = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    valid = segments.select(F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("segment"), "valid_from_us", "valid_to_us")
-    joined = facts.join(valid, (F.col("o_custkey") == F.col("c")) & (F.col("shipped") >= F.col("valid_from_us")) & (F.col("shipped") < F.col("valid_to_us")), "left")
+    valid = segments.withColumnRenamed("o_orderpriority", "segment")
+    joined = interval_join(facts, valid, on={"o_custkey": "o_custkey"}, at=F.col("shipped"), start=F.col("valid_from_us"), end=F.col("valid_to_us"), carry=["segment"], how="left")
     price = F.col("l_extendedprice").cast("decimal(15,2)") * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)"))
     return joined.groupBy(F.coalesce("segment", F.lit("Not Yet Available")).alias("segment")).agg(F.count(F.lit(1)).alias("line_count"), F.sum(price).cast("decimal(38,4)").alias("revenue"))
 
@@ -339,7 +340,7 @@ def scd6_current_columns(spark, folder) -> DataFrame:
 
 
 def _dual(spark, folder) -> DataFrame:
-    return dim.with_dual_keys(_merge(None, _versions(spark, folder)), ["customer_id"], "portable")
+    return dim.with_dual_keys(cut(_merge(None, _versions(spark, folder)), "versions"), ["customer_id"], "portable")
 
 
 _DURABLE = "sha256('customer_id:' || c.customer_id)"
@@ -438,23 +439,34 @@ def broker_resolution_stats(spark, folder) -> DataFrame:
 
 @query("broker_missing", f"WITH {_CUST}, {_HEADS} SELECT customer_id, min(moment) AS first_us FROM heads WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT customer_id FROM day2) GROUP BY 1")
 def broker_missing(spark, folder) -> DataFrame:
-    facts = _order_facts(spark, folder)
-    missing = facts.join(_members(spark, folder).select("customer_id"), "customer_id", "left_anti").filter("customer_id IS NOT NULL")
-    named = fct.missing_members(facts, _members(spark, folder), {"customer_id": "customer_id"})
-    return named.join(missing.groupBy("customer_id").agg(F.min("at").alias("f")), "customer_id").select("customer_id", us("f").alias("first_us"))
+    return fct.missing_members(_order_facts(spark, folder), _members(spark, folder), {"customer_id": "customer_id"}, first="at").select("customer_id", us("__first").alias("first_us"))
 
 
-_EARLY = f"""firsts AS (SELECT customer_id, min(moment) AS first FROM heads WHERE customer_id IS NOT NULL GROUP BY 1),
-gaps AS (SELECT f.* FROM firsts f WHERE f.first IS NULL OR NOT EXISTS (SELECT 1 FROM chain c WHERE c.customer_id = f.customer_id AND f.first >= c.moment AND f.first < coalesce(c.nxt, {HIGH_US})))"""
+#: Orders without a version of their customer, by the version that starts next; a skeleton for each, which ends there.
+_EARLY = f"""lonely AS (SELECT h.customer_id, h.moment, (SELECT min(c.moment) FROM chain c WHERE c.customer_id = h.customer_id AND c.moment > h.moment) AS until FROM (SELECT DISTINCT customer_id, moment FROM heads WHERE customer_id IS NOT NULL) h
+  WHERE CASE WHEN h.moment IS NULL THEN h.customer_id NOT IN (SELECT customer_id FROM chain) AND NOT EXISTS (SELECT 1 FROM heads g WHERE g.customer_id = h.customer_id AND g.moment IS NOT NULL)
+    ELSE NOT EXISTS (SELECT 1 FROM chain c WHERE c.customer_id = h.customer_id AND h.moment >= c.moment AND h.moment < coalesce(c.nxt, {HIGH_US})) END),
+gaps AS (SELECT customer_id, until, min(moment) AS first FROM lonely GROUP BY 1, 2)"""
 
 
-@query("broker_skeletons", f"""{_ONCE}, {_CHAIN}, {_HEADS}, {_EARLY} SELECT customer_id, 'Not Yet Available' AS email, first AS from_us, {HIGH_US} AS to_us, true AS is_skeleton FROM gaps""")
+@query("broker_skeletons", f"""{_ONCE}, {_CHAIN}, {_HEADS}, {_EARLY} SELECT customer_id, 'Not Yet Available' AS email, first AS from_us, coalesce(until, {HIGH_US}) AS to_us, until IS NULL AS is_current, true AS is_skeleton FROM gaps""")
 def broker_skeletons(spark, folder) -> DataFrame:
-    """Inferred members for customers whom an order names before their first version."""
-    versions = _merge(None, _versions(spark, folder))
+    """Inferred members for customers whom an order names when they have no version; they end where the next version starts."""
+    versions = cut(_merge(None, _versions(spark, folder)), "versions")
     missing = fct.missing_members(_order_facts(spark, folder), versions, {"customer_id": "customer_id"}, "at")
     made = fct.skeletons(missing, versions, ["customer_id"], "sk", strategy="portable")
-    return made.select("customer_id", "email", us("__valid_from").alias("from_us"), us("__valid_to").alias("to_us"), F.col("__is_skeleton").alias("is_skeleton"))
+    return made.select("customer_id", "email", us("__valid_from").alias("from_us"), us("__valid_to").alias("to_us"), F.col("__is_current").alias("is_current"), F.col("__is_skeleton").alias("is_skeleton"))
+
+
+@query("broker_early_facts", f"""{_ONCE}, {_CHAIN}, {_HEADS}, {_EARLY}, every AS (SELECT customer_id, moment AS a, coalesce(nxt, {HIGH_US}) AS b, false AS made FROM chain UNION ALL SELECT customer_id, first, coalesce(until, {HIGH_US}), true FROM gaps WHERE first IS NOT NULL)
+SELECT made AS skeleton, count(*) AS orders FROM heads h JOIN every e ON e.customer_id = h.customer_id AND h.moment >= e.a AND h.moment < e.b GROUP BY 1""")
+def broker_early_facts(spark, folder) -> DataFrame:
+    """Orders by whether their customer's version is real or a skeleton: every dated order of a known customer finds exactly one."""
+    versions, facts = cut(_merge(None, _versions(spark, folder)), "versions"), _order_facts(spark, folder)
+    made = fct.skeletons(fct.missing_members(facts, versions, {"customer_id": "customer_id"}, "at"), versions, ["customer_id"], "sk", strategy="portable")
+    whole = cut(versions.unionByName(made), "versions").withColumn("flag", F.col("__is_skeleton").cast("int"))
+    found = interval_join(facts, whole, on={"customer_id": "customer_id"}, at=us("at"), start=us("__valid_from"), end=us("__valid_to"), carry=["flag"])
+    return found.groupBy((F.col("flag") == 1).alias("skeleton")).agg(F.count(F.lit(1)).alias("orders"))
 
 
 _IDS = """ids AS (SELECT customer_id AS s, min(customer_id) OVER (PARTITION BY email) AS c FROM day2 WHERE email IS NOT NULL)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from orrery.runtime import counted_cut, cut, drop_cut
@@ -29,24 +29,40 @@ def latest_links(rows: DataFrame, node: str, parent: str, instant: str) -> DataF
     return newest.join(known, newest["parent"] == known["known"], "left").select("id", F.col("known").alias("parent"))
 
 
-def _descend(links: DataFrame, start: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+#: Levels that one frontier join may span.
+STRIDE = 32
+
+
+def _descend(links: DataFrame, start: DataFrame, stride: int = STRIDE) -> DataFrame:
     """Level-wise frontier joins: ``start`` (id, root, depth, path) and all that hangs below it.
 
-    ``links`` must not lead back into ``start``. Every level is one join of the frontier with the links
-    that are left, written to shared storage; a level's width is bounded by the nodes, its number of
-    rows by one per node. A parent with very many children is a skewed join partition, which adaptive
-    execution splits (the frontier has one row per node).
+    ``links`` has the nodes with a parent that aren't in ``start``. Each node first learns its nearest ancestors, up to ``stride`` of them or to the start node its chain meets, by
+    doubling, so that a frontier join carries paths over that many levels: the frontier, the nodes reached last, is joined with the nodes whose farthest known ancestor lies in it.
+    A node joins once. Joins: the depth / ``stride`` + the logarithm of ``stride``, fewer for shallow trees. Both sides have one row per node; an ancestor of very many nodes is a skewed join partition, which adaptive
+    execution splits (there is one row to match).
     """
+    up = links.select("id", F.array("parent").alias("up"), F.col("parent").alias("far"))
+    known, more = 1, True
+    while known < stride and more:
+        step = up.select(F.col("id").alias("mid"), F.col("up").alias("on"), F.col("far").alias("beyond"))
+        last = up
+        # chains that met a start node are shorter than ``known`` and stay as they are
+        farther = up.join(step, up["far"] == step["mid"], "left").select("id", F.when(F.col("on").isNull(), F.col("up")).otherwise(F.concat("up", "on")).alias("up"), F.coalesce("beyond", "far").alias("far"))
+        grown = Observation()
+        up = cut(farther.observe(grown, F.max(F.size("up")).alias("n")), "ancestors")
+        drop_cut(last)
+        known, more = 2 * known, (grown.get["n"] or 0) == 2 * known
     levels = [start]
     while True:
-        frontier = levels[-1].select(F.col("id").alias("above"), "root", "depth", "path")
-        below = links.join(frontier, links["parent"] == frontier["above"]).select(
-            links["id"], "root", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", links["id"].cast("string")).alias("path")
+        frontier = levels[-1].select(F.col("id").alias("above"), "root", "depth", F.col("path").alias("path"))
+        between = F.reverse(F.slice("up", 1, F.size("up") - 1)).cast("array<string>")
+        below = up.join(frontier, up["far"] == frontier["above"]).select(
+            "id", "root", (F.col("depth") + F.size("up")).alias("depth"), F.concat_ws("/", "path", between, F.col("id").cast("string")).alias("path")
         )
         below, n = counted_cut(below, "level")
         if not n:
             drop_cut(below)
-            return reduce(DataFrame.unionByName, levels), levels
+            return reduce(DataFrame.unionByName, levels)
         levels.append(below)
 
 
@@ -77,7 +93,7 @@ def _on_loops(links: DataFrame) -> DataFrame:
     return jump.join(repeated, "id", "left_semi").select("id", F.col("least").alias("loop"))
 
 
-def hierarchy(rows: DataFrame, node: str, parent: str, instant: str) -> DataFrame:
+def hierarchy(rows: DataFrame, node: str, parent: str, instant: str, stride: int = STRIDE) -> DataFrame:
     """Every node with its place: (id, root, depth, path, chain).
 
     * A node whose parent is NULL or not on file is a root: depth 0.
@@ -90,14 +106,14 @@ def hierarchy(rows: DataFrame, node: str, parent: str, instant: str) -> DataFram
     links = cut(latest_links(rows, node, parent, instant), "links")
     roots = links.filter(F.col("parent").isNull()).select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.col("id").cast("string").alias("path"))
     linked = links.filter(F.col("parent").isNotNull())
-    reached, _ = _descend(linked, roots)
+    reached = _descend(linked, roots, stride)
     trees = reached.withColumn("chain", F.col("path"))
     lost, n = counted_cut(linked.join(reached.select("id"), "id", "left_anti"), "lost")
     if not n:
         return trees
     loops = cut(_on_loops(lost), "loops")
     start = loops.select("id", F.col("loop").alias("root"), F.lit(0).alias("depth"), F.col("id").cast("string").alias("path"))
-    hanging, _ = _descend(lost.join(loops.select("id"), "id", "left_anti"), start)
+    hanging = _descend(lost.join(loops.select("id"), "id", "left_anti"), start, stride)
     below = hanging.select("id", "root", F.when(F.col("depth") == 0, -1).otherwise(-2).alias("depth"), F.lit("").alias("path"), F.col("path").alias("chain"))
     return trees.unionByName(below)
 

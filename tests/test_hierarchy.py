@@ -57,6 +57,17 @@ def test_random(spark):
     assert ours(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("stride", [1, 2, 5, 16])
+def test_long_chains_with_any_stride(spark, stride):
+    rng = random.Random(stride)
+    rows = [(i, None if i == 0 else i - 1 if rng.random() < 0.7 else rng.randrange(i), 1) for i in range(60)]
+    rows += [(100 + i, 100 + (i + 1) % 7, 1) for i in range(7)] + [(200 + i, 199 + i if i else 103, 1) for i in range(12)]
+    placed = hierarchy(spark.createDataFrame(rows, SCHEMA), "id", "boss", "us", stride=stride)
+    assert {r["id"]: (r["root"], r["depth"], r["path"]) for r in placed.collect()} == brute(rows)
+    chain = placed.filter("id = 211").first()["chain"]
+    assert chain == "/".join(map(str, [103, *range(200, 212)]))
+
+
 def test_star_and_extra_columns(spark):
     df = spark.createDataFrame([(i, None if i == 0 else 0, 1, "a", 7, "r") for i in range(500)], "id int, boss int, us bigint, path string, depth int, root string")
     placed = hierarchy(df, "id", "boss", "us")

@@ -180,10 +180,11 @@ def current_columns(versions: DataFrame, keys: Sequence[str], columns: Sequence[
 def attribute_history(history: DataFrame | None, rows: DataFrame, sk: str, fields: Sequence[str], effective: str) -> DataFrame:
     """Type 4: the attribute history (surrogate_key, field, value, valid_from, valid_to, __is_current) after ``rows`` took effect.
 
-    ``rows`` has one row per key. A field whose value differs from its open row (NULL counts as a value) closes it one
+    Of several rows of a key the one that takes effect last counts. A field whose value differs from its open row (NULL counts as a value) closes it one
     microsecond before and opens a new one, until 9999-12-31 23:59:59. Closed rows and fields without a change stay.
     """
     kind = rows.schema[effective].dataType
+    rows = rows.groupBy(sk).agg(F.max_by(F.struct(effective, *[f for f in fields if f != effective]), F.struct(effective, *[F.col(f).cast("string") for f in fields])).alias("__r")).select(sk, "__r.*")
     new = rows.select(F.col(sk).alias("surrogate_key"), F.col(effective).alias("__at"), *[F.col(f).cast("string").alias(f) for f in fields]).unpivot(["surrogate_key", "__at"], list(fields), "field", "value")
     forever = F.lit("9999-12-31 23:59:59").cast(kind)
     if history is None:

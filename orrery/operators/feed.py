@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orrery.functions.keys import replacement
 
@@ -103,6 +101,26 @@ def lost_change_type(sources: dict[str, DataFrame], out: DataFrame) -> bool:
     return any("_change_type" in df.columns for df in sources.values()) and "_change_type" not in out.columns
 
 
+def reattach(sources: dict[str, DataFrame], out: DataFrame) -> DataFrame | None:
+    """``out`` with the feed metadata that the transformation lost, from the one source that has it; None if several have it or nothing in common tells which row is which.
+
+    Rows are told by all columns that both have under one name, in which NULL equals NULL; of several source rows that agree in all of them the latest
+    commit counts (a delete before others within it), so no row of ``out`` is doubled. A row that the source lacks has NULL metadata.
+    """
+    feeds = [df for df in sources.values() if "_change_type" in df.columns]
+    common = [c for c in out.columns if feeds and c in feeds[0].columns and c not in META]
+    if len(feeds) != 1 or not common:
+        return None
+    meta = [c for c in META if c in feeds[0].columns]
+    latest = dedup_delete_wins(feeds[0].select(*common, *meta), common) if "_commit_version" in meta else feeds[0].select(*common, *meta).dropDuplicates(common)
+    known = latest.select(*[F.col(c).alias(f"__m_{c}") for c in common], *[F.col(c).alias(f"__meta_{c}") for c in meta])
+    same = F.lit(True)
+    for c in common:
+        same &= out[c].eqNullSafe(known[f"__m_{c}"])
+    kept = [c for c in out.columns if c not in meta]
+    return out.join(known, same, "left").select(*[out[c] for c in kept], *[F.col(f"__meta_{c}").alias(c) for c in meta])
+
+
 def prune(df: DataFrame, target: Sequence[str], protected: Sequence[str] = (), evolve: bool = False) -> DataFrame:
     """Only the columns the target has or that are protected (keys, tracked, system, feed metadata); all of them if it evolves."""
     wanted = {c.lower() for c in (*target, *protected, *META)}
@@ -137,14 +155,12 @@ def null_identities(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.filter(bad)
 
 
-def _hmac(secret: str):
+def hmac_sha256(text: Column, secret: str) -> Column:
+    """HMAC-SHA-256 of a text, as hex; NULL stays NULL. Two hashes of padded binaries, so it stays in the JVM."""
     key = secret.encode()
-
-    @F.pandas_udf(T.StringType())
-    def token(values):  # Arrow batches; NULL stays NULL
-        return values.map(lambda v: None if v is None else hmac.new(key, v.encode(), hashlib.sha256).hexdigest())
-
-    return token
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (bytearray(b ^ pad for b in key) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), text.cast("binary")), 256))), 256)
 
 
 def mask_columns(df: DataFrame, rules: dict[str, dict]) -> DataFrame:
@@ -164,7 +180,7 @@ def mask_columns(df: DataFrame, rules: dict[str, dict]) -> DataFrame:
         elif method in ("fast_hash", "hash"):
             df = df.withColumn(name, F.xxhash64(c.cast("string"), F.lit(name)))
         elif method == "tokenize":
-            df = df.withColumn(name, _hmac(rule["secret"])(c.cast("string")))
+            df = df.withColumn(name, hmac_sha256(c.cast("string"), rule["secret"]))
         elif method == "mask":
             kept = F.substring(c.cast("string"), 1, int(rule.get("prefix", 0)))
             df = df.withColumn(name, F.when(c.isNotNull(), F.concat(kept, F.lit(rule.get("char", "*") * 10))))

@@ -169,6 +169,7 @@ class Outcome:
     ok: bool
     failed: int | None = None
     severity: str = "error"
+    detail: str | None = None
 
 
 class QualityError(ValueError):

@@ -30,6 +30,54 @@ def seconds(duration: str) -> int:
     return int(m[1]) * {"s": 1, "m": 60, "h": 3600, "d": 86400}[m[2][0]]
 
 
+class RuleSpec(Strict):
+    name: str
+    kind: Literal["unique", "not_null", "null_rate", "accepted_values", "expression", "relationships"]
+    column: str = ""
+    columns: list[str] = Field(default_factory=list)
+    values: list[Any] = Field(default_factory=list)
+    sql: str = ""
+    limit: float = 0.0
+    to: str = ""
+    field: str = ""
+    severity: Literal["error", "warn"] = "error"
+
+
+class TemporalSpec(Strict):
+    """Lateness and order of a source's events; ``keys`` name the entity whose latest event is remembered from run to run."""
+
+    keys: list[str] = Field(min_length=1)
+    event_at: str
+    lateness: str = "1 day"
+    severity: Literal["error", "warn"] = "warn"
+
+    @model_validator(mode="after")
+    def _duration(self):
+        seconds(self.lateness)
+        return self
+
+
+class SourceContract(Strict):
+    """What a supplier promises: a contract document beside the definition, or columns and rules given here, and how time behaves."""
+
+    document: str | None = None
+    object: str | None = None
+    columns: dict[str, str] = Field(default_factory=dict)
+    required: list[str] = Field(default_factory=list)
+    mode: Literal["additive", "strict"] = "additive"
+    rules: list[RuleSpec] = Field(default_factory=list)
+    max_actions: int | None = None
+    temporal: TemporalSpec | None = None
+
+    @model_validator(mode="after")
+    def _says_something(self):
+        if not (self.document or self.columns or self.rules or self.temporal):
+            raise ValueError("a contract needs a document, columns, rules or temporal")
+        if any(r.kind == "relationships" for r in self.rules):
+            raise ValueError("a contract's rules look at the source alone; relationships belong to tests")
+        return self
+
+
 class Source(Strict):
     name: str
     alias: str = ""
@@ -39,12 +87,14 @@ class Source(Strict):
     primary_keys: list[str] = Field(default_factory=list)
     starting_version: int | None = None
     streaming: bool = False
-    contract: str | None = None
+    contract: SourceContract | None = None
 
     @model_validator(mode="after")
     def _names(self):
         if not self.alias:
             self.alias = re.split(r"[./]", self.name.rstrip("/"))[-1]
+        if self.contract and self.contract.temporal and self.cdc_strategy == "full":
+            raise ValueError(f"source {self.name}: a temporal contract needs a change feed")
         if self.cdc_strategy == "cdf" and not self.primary_keys:
             raise ValueError(f"source {self.name}: a change feed needs primary_keys")
         if self.streaming and self.cdc_strategy == "full":
@@ -55,7 +105,8 @@ class Source(Strict):
 class ForeignKey(Strict):
     column: str
     references: str
-    lookup: dict[str, str]
+    #: fact column -> natural key column; empty if the facts carry the dimension's key already
+    lookup: dict[str, str] = Field(default_factory=dict)
     dimension_key: str
     durable_column: str | None = None
     dimension_durable_key: str = "durable_key"
@@ -65,6 +116,9 @@ class ForeignKey(Strict):
     invalid_action: Literal["default", "error"] = "default"
     identity_map: str | None = None
     detect_fanout: bool = True
+    validate_resolution: bool = False
+    #: evidence of facts that stay unresolved, by grain
+    register_unresolved: bool = True
 
 
 class JunkDimension(Strict):
@@ -85,19 +139,6 @@ class Measure(Strict):
         return self
 
 
-class RuleSpec(Strict):
-    name: str
-    kind: Literal["unique", "not_null", "null_rate", "accepted_values", "expression", "relationships"]
-    column: str = ""
-    columns: list[str] = Field(default_factory=list)
-    values: list[Any] = Field(default_factory=list)
-    sql: str = ""
-    limit: float = 0.0
-    to: str = ""
-    field: str = ""
-    severity: Literal["error", "warn"] = "error"
-
-
 class MaskRule(Strict):
     column: str
     method: Literal["drop", "null", "fast_hash", "hash", "tokenize", "mask"]
@@ -139,7 +180,14 @@ class TableSpec(Strict):
     checks: list[str] = Field(default_factory=list)
     cluster_by: list[str] = Field(default_factory=list)
     grain_check: Literal["error", "warn", "skip"] = "error"
+    #: sources whose latest commit is older give a warning
     freshness: str | None = None
+    #: folders of rows, by a hash of the keys: a merge rewrites those it touches; 0 for none
+    buckets: int = Field(16, ge=0, le=65_536)
+    #: files to compact into once a run left more folders than so many; None never
+    compact_files: int | None = None
+    #: derived checks of the whole target after every run
+    validate_target: bool = False
     depends_on: list[str] = Field(default_factory=list)
     description: str = ""
 
@@ -192,22 +240,41 @@ class TableSpec(Strict):
         return hashlib.sha256(json.dumps(self.model_dump(exclude={"description"}), sort_keys=True, default=str).encode()).hexdigest()
 
 
+#: What may follow a name: ``{{ name | upper }}``.
+FILTERS = {"upper": str.upper, "lower": str.lower, "trim": str.strip}
+
+
 def render(text: str, values: dict[str, Any]) -> str:
-    """``{{ a.b }}`` replaced by values; ValueError for a name that has none, so that a typing error never becomes an empty text."""
+    """``{{ a.b }}`` replaced by values; ValueError for a name that has none, so that a typing error never becomes an empty text.
+
+    ``{{ a | default('x') }}`` gives x where a has no value; ``upper``, ``lower`` and ``trim`` may follow, in any number.
+    """
 
     def one(m: re.Match) -> str:
+        name, *then = [x.strip() for x in m[1].split("|")]
+        if not re.fullmatch(r"[A-Za-z_][\w.]*", name):
+            raise ValueError(f"not a name: {name!r}")
         at: Any = values
-        for part in m[1].split("."):
-            if not isinstance(at, dict) or part not in at:
-                raise ValueError(f"nothing is known as {m[1]!r}")
-            at = at[part]
+        for part in name.split("."):
+            at = at[part] if isinstance(at, dict) and part in at else None
+            if at is None:
+                break
+        for step in then:
+            if given := re.fullmatch(r"default\((?:'([^']*)'|\"([^\"]*)\")\)", step):
+                at = (given[1] or given[2] or "") if at is None else at
+            elif step not in FILTERS:
+                raise ValueError(f"unknown filter {step!r}")
+            elif at is not None:
+                at = FILTERS[step](str(at))
+        if at is None:
+            raise ValueError(f"nothing is known as {name!r}")
         return str(at)
 
-    return re.sub(r"\{\{\s*([A-Za-z_][\w.]*)\s*\}\}", one, text)
+    return re.sub(r"\{\{(.*?)\}\}", one, text)
 
 
 def load_table(path: str | Path, values: dict[str, Any] | None = None) -> TableSpec:
-    """A definition from a YAML file; SQL may be in a file beside it (``transformation_sql: file:name.sql``)."""
+    """A definition from a YAML file; SQL may be in a file beside it (``transformation_sql: file:name.sql``), as are contract documents."""
     path = Path(path)
     data = yaml.safe_load(render(path.read_text(), values or {}))
     if not isinstance(data, dict):
@@ -215,8 +282,33 @@ def load_table(path: str | Path, values: dict[str, Any] | None = None) -> TableS
     sql = data.get("transformation_sql")
     if isinstance(sql, str) and sql.startswith("file:"):
         data["transformation_sql"] = render((path.parent / sql[5:].strip()).read_text(), values or {})
-    return TableSpec(**data)
-
-
-def load_project(folder: str | Path, values: dict[str, Any] | None = None) -> list[TableSpec]:
-    return [load_table(p, values) for p in sorted(Path(folder).glob("*.y*ml"))]
+    spec = TableSpec(**data)
+    for s in spec.sources:
+        if s.contract and s.contract.document:
+            s.contract.document = str((path.parent / s.contract.document).resolve())
+            if not Path(s.contract.document).is_file():
+                raise ValueError(f"{path}: no contract document {s.contract.document}")
+    return spec
+
+
+#: File of named sets of values beside the definitions: target -> name -> value.
+TARGETS = "targets.yml"
+
+
+def load_targets(folder: str | Path, target: str | None) -> dict[str, Any]:
+    """The values of one target; none without a target."""
+    if target is None:
+        return {}
+    path = Path(folder) / TARGETS
+    known = yaml.safe_load(path.read_text()) if path.is_file() else {}
+    if target not in (known or {}):
+        raise ValueError(f"{path} has no target {target!r}")
+    return known[target] or {}
+
+
+def load_project(folder: str | Path, values: dict[str, Any] | None = None, target: str | None = None) -> list[TableSpec]:
+    """All definitions of a folder; ``values`` go before those of ``target``. ValueError if there is no such folder."""
+    if not Path(folder).is_dir():
+        raise ValueError(f"no folder {folder}")
+    known = load_targets(folder, target) | (values or {})
+    return [load_table(p, known) for p in sorted(Path(folder).glob("*.y*ml")) if p.name != TARGETS]

@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 import time
+from dataclasses import replace
 from pathlib import Path
 from typing import Any
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.operators.quality import Rule, schema_findings
+from orrery.operators.quality import Outcome, Rule, run_rules, schema_findings
 from orrery.sources.versioned import VersionedTable
 
 #: Logical type of a document -> Spark type; a physical type, where given, wins.
@@ -98,6 +99,30 @@ def load_contract(text: str, obj: str | None = None) -> Contract:
     return Contract(id=str(doc["id"]), version=str(doc["version"]), name=o["name"], properties=[Property(**p) for p in o.get("properties", [])], quality=o.get("quality", []))
 
 
+def contract_of(source) -> Contract:
+    """The contract that a source's definition refers to or holds itself."""
+    c = source.contract
+    if c.document:
+        found = load_contract(Path(c.document).read_text(), c.object)
+    else:
+        found = Contract(id=source.name, version="1.0.0", name=source.name, properties=[Property(name=n, physicalType=t, required=n in c.required) for n, t in c.columns.items()])
+    return found
+
+
+def contract_outcomes(source, df: DataFrame, label: str, schema_only: bool = False) -> list[Outcome]:
+    """How rows of a source keep its contract: one outcome for the schema and one for each rule; rules are run only where the schema has the columns they name."""
+    c = source.contract
+    contract = contract_of(source)
+    findings = contract.findings(df, c.mode, cdf=source.cdc_strategy != "full" and not schema_only)
+    out = [Outcome(f"{label}.schema", not findings, len(findings), detail="; ".join(f"{code} {name}" for code, name in findings) or None)]
+    if schema_only:
+        return out
+    given = [Rule(r.name, r.kind, r.column, r.columns, r.values, r.sql, r.limit, r.severity) for r in c.rules]
+    broken = {name for code, name in findings if code == "MISSING_COLUMN"}
+    rules = [r for r in [*contract.rules(), *given] if not ({r.column, *r.columns} & broken)]
+    return out + [replace(o, rule=f"{label}.{o.rule}") for o in run_rules(df, rules, c.max_actions)]
+
+
 def compare(old: Contract, new: Contract) -> list[tuple[str, str, bool]]:
     """(code, property, breaking) of what changed."""
     a, b = {p.name: p for p in old.properties}, {p.name: p for p in new.properties}

@@ -62,6 +62,17 @@ class ControlTable:
     def reset(self, target: str) -> None:
         self._update(lambda rows: [rows.pop(k) for k in list(rows) if k[0] == target])
 
+    def rename(self, old: str, new: str) -> None:
+        """The rows of one target become those of another, whose own are dropped; in one commit."""
+
+        def change(rows):
+            for k in [k for k in rows if k[0] == new]:
+                rows.pop(k)
+            for k in [k for k in rows if k[0] == old]:
+                rows[new, k[1]] = rows.pop(k) | {"target_table": new}
+
+        self._update(change)
+
     def start(self, target: str, sources: list[str], batch: str) -> None:
         now = datetime.now(timezone.utc)
         self._set(target, sources, batch_id=batch, batch_status="RUNNING", batch_started_at=now, batch_completed_at=None, error_message=None)

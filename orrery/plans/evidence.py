@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.operators.quality import Outcome
@@ -33,11 +34,15 @@ class Evidence:
         self.spark, self.path, self.on_failure, self.notify = spark, path, on_failure, notify
 
     def record(self, table: str, batch: str, outcomes: Sequence[Outcome]) -> bool:
-        rows = [{"event_id": event_id(table, batch, o.rule), "table_name": table, "batch_id": batch, "rule": o.rule, "severity": o.severity, "ok": o.ok, "failed": o.failed, "detail": None, "at": time.time()} for o in outcomes]
+        rows = [{"event_id": event_id(table, batch, o.rule), "table_name": table, "batch_id": batch, "rule": o.rule, "severity": o.severity, "ok": o.ok, "failed": o.failed, "detail": o.detail, "at": time.time()} for o in outcomes]
         try:
             sink = VersionedTable(self.spark, self.path)
             if not sink.exists():
                 sink.create(SCHEMA)
+            if rows:
+                # a retry records nothing twice
+                there = {r[0] for r in sink.snapshot().filter(F.col("event_id").isin([r["event_id"] for r in rows])).select("event_id").collect()}
+                rows = [r for r in rows if r["event_id"] not in there]
             if rows:
                 sink.commit(self.spark.createDataFrame([tuple(r[f.name] for f in SCHEMA) for r in rows], SCHEMA).coalesce(1), append=True, operation="evidence")
             if self.notify and (bad := [r for r in rows if not r["ok"]]):
@@ -86,5 +91,10 @@ class Checkpoints:
         self.table.commit(row, append=True, operation="checkpoint")
 
     def done(self, pipeline: str) -> dict[str, dict]:
-        rows = sorted(self.table.snapshot().filter(f"pipeline = '{pipeline}'").collect(), key=lambda r: r["at"])
+        rows = self.table.snapshot().filter(F.col("pipeline") == pipeline).groupBy("step").agg(F.max_by("state", "at").alias("state")).collect()  # a row per step
         return {r["step"]: json.loads(r["state"]) for r in rows}
+
+    def forget(self, pipeline: str) -> None:
+        """Take back what is recorded of a pipeline, once it is through."""
+        rest = self.table.snapshot().filter(F.col("pipeline") != pipeline)
+        self.table.commit(rest, operation="checkpoint", expected=self.table.latest())

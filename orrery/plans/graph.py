@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import shlex
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -144,7 +145,11 @@ def conformance_warnings(tables: Sequence[TableSpec]) -> list[str]:
     return out + [f"{d} is looked up by something else than its natural keys" for d, keys in sorted(used.items()) if d in known and any(set(k) != set(known[d].natural_keys) for k in keys)]
 
 
-def job(project: Project, name: str, command: str = "python -m orrery run") -> dict:
-    """The project as a generic job: a task per table, run after those it depends on, one run at a time."""
-    tasks = [{"task_key": t, "command": f"{command} {t}", "depends_on": sorted(project.upstream[t])} for level in project.levels for t in level]
+def job(project: Project, name: str, command: str = "python -m orrery run", folder: str | None = None, warehouse: str | None = None) -> dict:
+    """The project as a generic job: a task per table, run after those it depends on, one run at a time.
+
+    With ``folder`` and ``warehouse`` each command runs as it stands; else it is ``command`` and the table, for a caller's own runner.
+    """
+    line = lambda t: f"{command} {shlex.quote(folder)} --warehouse {shlex.quote(warehouse)} --table {shlex.quote(t)}" if folder and warehouse else f"{command} {t}"
+    tasks = [{"task_key": t, "command": line(t), "depends_on": sorted(project.upstream[t])} for level in project.levels for t in level]
     return {"name": name, "max_concurrent_runs": 1, "tasks": tasks}

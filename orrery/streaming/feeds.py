@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from dataclasses import dataclass, field
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from orrery.operators import feed as fd
 from orrery.plans.config import TableSpec
 from orrery.plans.pipeline import Result, Warehouse
-from orrery.runtime import cut, drop_cut, shared_folder
+from orrery.runtime import cut, scratch, shared_folder
 
 
 @dataclass
@@ -21,19 +22,21 @@ class StreamSummary:
     batches: int = 0
     versions: list[int] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
 
 
 def checkpoint_path(warehouse: Warehouse, spec: TableSpec, source: str) -> str:
-    """Where a query keeps its offsets: below the warehouse, in a folder of plain characters."""
+    """Where a query keeps its offsets: in a folder of plain characters below $ORRERY_CHECKPOINTS, by default below the warehouse."""
     plain = re.sub(r"[^A-Za-z0-9_-]+", "_", f"{spec.table_name}__{source}")
-    return f"{warehouse.root}/_streams/{plain}"
+    root = os.environ.get("ORRERY_CHECKPOINTS", f"{warehouse.root}/_streams")
+    return f"{root.rstrip('/')}/{plain}"
 
 
 def run_stream(warehouse: Warehouse, spec: TableSpec, *, per_version: bool = False, interval: str | None = None, wait: bool = True) -> StreamSummary:
     """One query per streaming source: everything there is, or with ``interval`` on and on. Sources that don't stream are read as snapshots; a table without a streaming source is run as a batch.
 
     Offsets are durable, keys are deterministic and merges idempotent, so a batch that is repeated after a crash changes nothing. ``per_version`` applies a
-    micro-batch commit by commit, in order. Errors are in the summary.
+    micro-batch commit by commit, in order. Contracts, key resolution, gates and evidence are those of a batch. Errors and warnings are in the summary.
     """
     summary = StreamSummary(spec.table_name)
     streaming = [s for s in spec.sources if s.streaming]
@@ -51,18 +54,20 @@ def run_stream(warehouse: Warehouse, spec: TableSpec, *, per_version: bool = Fal
         rows = warehouse.table(source.name).stream(start).filter("_change_type <> 'update_preimage'")
 
         def step(df: DataFrame, _: int, source=source) -> None:
+            with scratch(warehouse.spark):  # a long stream leaves no intermediate tables behind
+                _step(df, source)
+
+        def _step(df: DataFrame, source) -> None:
             rows = cut(df, "microbatch")  # the session of a micro-batch is another one than the warehouse's
             rows = warehouse.spark.read.schema(rows.schema).parquet(rows._orrery_path)  # noqa: SLF001
-            try:
-                versions = sorted(r[0] for r in rows.select("_commit_version").distinct().collect())  # a row per commit
-                done = warehouse.control.watermark(spec.table_name, source.name)
-                versions = [v for v in versions if done is None or v > done]
-                for group in [[v] for v in versions] if per_version else [versions] if versions else []:
-                    apply_batch(warehouse, spec, source, rows.filter(F.col("_commit_version").isin(group)), max(group))
-                    summary.versions += group
-                summary.batches += 1
-            finally:
-                drop_cut(rows)
+            versions = sorted(r[0] for r in rows.select("_commit_version").distinct().collect())  # a row per commit
+            done = warehouse.control.watermark(spec.table_name, source.name)
+            versions = [v for v in versions if done is None or v > done]
+            for group in [[v] for v in versions] if per_version else [versions] if versions else []:
+                result = apply_batch(warehouse, spec, source, rows.filter(F.col("_commit_version").isin(group)), max(group))
+                summary.versions += group
+                summary.warnings += [w for w in result.warnings if w not in summary.warnings]
+            summary.batches += 1
 
         writer = rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint_path(warehouse, spec, source.name))
         query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

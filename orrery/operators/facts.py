@@ -236,25 +236,31 @@ def accumulate(target: DataFrame, source: DataFrame, keys: Sequence[str], milest
     return both.select(*keys, *[F.coalesce(F.col(f"t.`{m}`"), F.col(f"s.`{m}`")).alias(m) for m in milestones])
 
 
-def roll_up(df: DataFrame, by: Sequence[str], measures: dict[str, tuple[str, str]], period: str | None = None) -> DataFrame:
+def periodic_snapshot(facts: DataFrame, by: Sequence[str], event_at: str, period: str, measures: dict[str, Column]) -> DataFrame:
+    """One row per ``by`` columns and ``period`` (day, week, month, quarter or year, the date it begins with, column ``period``) with ``measures`` (name -> aggregate). Facts without a date belong to the period NULL."""
+    start = F.trunc(F.col(event_at).cast("date"), period) if period != "day" else F.col(event_at).cast("date")
+    return facts.groupBy(*by, start.alias("period")).agg(*[m.alias(n) for n, m in measures.items()])
+
+
+def roll_up(df: DataFrame, by: Sequence[str], measures: dict[str, tuple[str, str]], period: str | None = None, members: Sequence[str] = ()) -> DataFrame:
     """Measures by dimensions: name -> (aggregation, additivity). ValueError for a sum of a non-additive measure.
 
-    A semi-additive measure is not summed over ``period``: of each group's rows only those of its last period count.
+    A semi-additive measure is not summed over ``period``: of each group's rows only those of its last period count, or, where ``members`` name what a balance belongs to (an
+    account, an item), each member's own last period, so that a member which the group's last period lacks still counts.
     """
     agg = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "count_distinct": F.count_distinct}
-    out, last = [], None
     for name, (how, kind) in measures.items():
         if how == "sum" and kind == "non_additive":
             raise ValueError(f"{name} is not additive and can't be summed")
-        if how == "sum" and kind == "semi_additive":
-            if period is None:
-                raise ValueError(f"{name} is semi-additive: name the period")
-            last = f"__sum_{name}"
-    if last is None:
-        return df.groupBy(*by).agg(*[agg[how](m).alias(m) for m, (how, _) in measures.items()])
+        if how == "sum" and kind == "semi_additive" and period is None:
+            raise ValueError(f"{name} is semi-additive: name the period")
     semi = [m for m, (how, kind) in measures.items() if how == "sum" and kind == "semi_additive"]
-    per = df.groupBy(*by, period).agg(*[agg[how](m).alias(m) for m, (how, _) in measures.items() if m in semi])
-    latest = per.groupBy(*by).agg(*[F.max_by(m, period).alias(m) for m in semi])
+    if not semi:
+        return df.groupBy(*by).agg(*[agg[how](m).alias(m) for m, (how, _) in measures.items()])
+    per = df.groupBy(*by, *members, period).agg(*[F.sum(m).alias(m) for m in semi])
+    latest = per.groupBy(*by, *members).agg(*[F.max_by(m, period).alias(m) for m in semi])
+    if members:
+        latest = latest.groupBy(*by).agg(*[F.sum(m).alias(m) for m in semi])
     rest = [(m, how) for m, (how, _) in measures.items() if m not in semi]
     if rest:
         whole = df.groupBy(*by).agg(*[agg[how](m).alias(m) for m, how in rest])

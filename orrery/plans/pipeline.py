@@ -231,7 +231,7 @@ class Warehouse:
             rows, label = sources[s.alias], f"contract.{s.alias}"
             outcomes += contract_outcomes(s, rows, label)
             if (t := s.contract.temporal) and {*t.keys, t.event_at, "_commit_version"} <= set(rows.columns):
-                table = self.table(f"etl_temporal_state/{spec.table_name}__{s.alias}")
+                table = self.table(f"etl_temporal_state__{spec.table_name}__{s.alias}")
                 state = table.snapshot(buckets=table.touched(rows)) if table.exists() else None
                 events = rows.select(*t.keys, F.col(t.event_at).cast("timestamp").alias("__event"), "_commit_version").filter("__event IS NOT NULL")
                 late = dq.temporal_findings(events, t.keys, "__event", "_commit_version", now=F.current_timestamp(), lateness=f"{seconds(t.lateness)} SECONDS", state=state).first()

@@ -577,11 +577,10 @@ def pii_fast_hash(spark, folder) -> DataFrame:
 
 
 _SECRET = "a-test-secret"
-_K = _SECRET.encode().ljust(64, b"\0")
-_PADS = [bytes(b ^ p for b in _K).hex() for p in (0x36, 0x5C)]
+_INNER, _OUTER = ("".join(f"\\x{b ^ pad:02X}" for b in _SECRET.encode().ljust(64, b"\0")) for pad in (0x36, 0x5C))
 
 
-@query("pii_tokenize")
+@query("pii_tokenize", f"SELECT customer_id, CASE WHEN email IS NOT NULL THEN sha256('{_OUTER}'::BLOB || unhex(sha256('{_INNER}'::BLOB || encode(email)))) END AS email FROM customers")
 def pii_tokenize(spark, folder) -> DataFrame:
     return fd.mask_columns(table(spark, folder, "customers").select("customer_id", "email"), {"email": {"method": "tokenize", "secret": _SECRET}})
 
@@ -617,8 +616,8 @@ def fact_append(spark, folder) -> DataFrame:
 
 @query("periodic_snapshot", "SELECT o_custkey AS customer, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DECIMAL(38,2)) AS total FROM orders GROUP BY ALL")
 def periodic_snapshot(spark, folder) -> DataFrame:
-    month = F.trunc(F.col("o_orderdate").cast("date"), "month")
-    return table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("customer"), month.alias("period")).agg(F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("decimal(38,2)").alias("total"))
+    measures = {"orders": F.count(F.lit(1)), "total": F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("decimal(38,2)")}
+    return fct.periodic_snapshot(table(spark, folder, "orders").withColumnRenamed("o_custkey", "customer"), ["customer"], "o_orderdate", "month", measures)
 
 
 @query("accumulating_snapshot", """WITH e AS (SELECT user_id, event_type, min(ts) AS t, ts < TIMESTAMP '2024-01-15' AS early FROM events GROUP BY 1, 2, 4)
@@ -702,7 +701,7 @@ def dq_expression(spark, folder) -> DataFrame:
     return dq.expression(table(spark, folder, "lineitem"), "l_quantity < 45 AND l_discount >= 0").select("l_orderkey", "l_quantity")
 
 
-@query("approx_unique", "SELECT true AS unique_order, false AS unique_customer FROM orders LIMIT 1")
+@query("approx_unique", "SELECT count(DISTINCT o_orderkey) >= 0.97 * count(*) AS unique_order, count(DISTINCT o_custkey) >= 0.97 * count(*) AS unique_customer FROM orders")
 def approx_unique(spark, folder) -> DataFrame:
     orders = table(spark, folder, "orders")
     a = dq.approximately_unique(orders, ["o_orderkey"], 0.97).select(F.col("ok").alias("unique_order"))
@@ -787,10 +786,45 @@ def scan_append(spark, folder) -> DataFrame:
     return fd.append_rows(_landed(spark, folder, "append")[0].changes(1, 1)).select("customer_id", "email", "address")
 
 
-@query("sink_system_columns", "SELECT CAST(k AS BIGINT) AS sk, s AS member_status FROM (VALUES (-1, 'MISSING'), (-2, 'NOT_APPLICABLE'), (-3, 'NOT_YET_AVAILABLE'), (-4, 'BAD_VALUE')) t(k, s)")
+@query("sink_system_columns", f"""WITH {_CUST} SELECT 'customer' AS kind, customer_id, email, false AS is_deleted FROM day2
+UNION ALL SELECT 'member', k, n, false FROM (VALUES (-1, 'Missing'), (-2, 'Not Applicable'), (-3, 'Not Yet Available'), (-4, 'Bad Value')) t(k, n)""")
 def sink_system_columns(spark, folder) -> DataFrame:
-    empty = dim.empty_versions(_versions(spark, folder), ["customer_id"], ["address", "email"], "eff").withColumn("__member_status", F.lit("x"))
-    return dim.default_members(spark, empty.schema, "sk").select("sk", F.col("__member_status").alias("member_status"))
+    """A type-1 dimension as a run leaves it: the customers and the reserved members, with the columns that the engine adds."""
+    from orrery.plans.config import TableSpec
+    from orrery.plans.pipeline import Warehouse
+
+    warehouse = Warehouse(spark, fresh_path(spark, "created"), strategy="portable")
+    rows = _day(spark, folder, False)
+    warehouse.table("customers").create(rows.schema).commit(rows, append=True)
+    warehouse.run(TableSpec(table_name="dim_customer", table_type="dimension", surrogate_key="sk", natural_keys=["customer_id"], sources=[{"name": "customers"}]))
+    kind = F.when(F.col("sk").isin(-1, -2, -3, -4), "member").otherwise("customer")
+    return warehouse.table("dim_customer").snapshot().select(kind.alias("kind"), "customer_id", "email", F.col("__is_deleted").alias("is_deleted"))
+
+
+@query("scan_cdf_restored", f"""WITH {_CUST}, changed AS (SELECT d2.customer_id, d1.customer_id IS NULL AS fresh FROM day2 d2 LEFT JOIN day1 d1 ON d1.customer_id = d2.customer_id
+  WHERE d1.customer_id IS NULL OR d1.email IS DISTINCT FROM d2.email OR d1.address IS DISTINCT FROM d2.address)
+SELECT customer_id, CASE WHEN fresh THEN 'delete' ELSE 'update_postimage' END AS change_type FROM changed""")
+def scan_cdf_restored(spark, folder) -> DataFrame:
+    """What the feed says after the second load was undone."""
+    landed = _landed(spark, folder, "restored")[0]
+    version = landed.restore(1, keys=["customer_id"])
+    return fd.changes_between(landed.changes(version), version).select("customer_id", F.col("_change_type").alias("change_type"))
+
+
+@query("merge_touched_buckets", f"WITH {_CUST} SELECT customer_id, email, address FROM day2")
+def merge_touched_buckets(spark, folder) -> DataFrame:
+    """The second load merged into a table with buckets: only those that hold changed customers are rewritten."""
+    from orrery.sources.versioned import VersionedTable
+
+    first, last = _day(spark, folder, True), cut(_day(spark, folder, False), "load")
+    target = VersionedTable(spark, fresh_path(spark, "buckets")).create(first.schema, {"buckets": {"by": ["customer_id"], "n": 64}, "keys": ["customer_id"]})
+    target.commit(first, append=True)
+    before = target.snapshot()
+    changed = last.join(before, [last[c].eqNullSafe(before[c]) for c in last.columns], "left_anti")
+    touched = target.touched(changed)
+    merged = cut(dim.overwrite_merge(target.snapshot(buckets=touched), changed, ["customer_id"]), "merged")
+    target.commit(dim.applied(merged).drop("__is_deleted"), replace=touched)
+    return target.snapshot().select("customer_id", "email", "address")
 
 
 @query("control_table_progress", """WITH i AS (SELECT lower(trim(replace(target_table, '`', ''))) AS t, lower(trim(replace(source_table, '`', ''))) AS s, batch_id, updated_at, batch_completed_at, upper(trim(batch_status)) AS st, last_processed_version AS v FROM etl_control),

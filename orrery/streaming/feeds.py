@@ -53,9 +53,15 @@ def run_stream(warehouse: Warehouse, spec: TableSpec, *, per_version: bool = Fal
         start = mark + 1 if mark is not None else (source.starting_version or 0)
         rows = warehouse.table(source.name).stream(start).filter("_change_type <> 'update_preimage'")
 
-        def step(df: DataFrame, _: int, source=source) -> None:
-            with scratch(warehouse.spark):  # a long stream leaves no intermediate tables behind
-                _step(df, source)
+        causes: list[str] = []
+
+        def step(df: DataFrame, _: int, source=source, causes=causes) -> None:
+            try:
+                with scratch(warehouse.spark):  # a long stream leaves no intermediate tables behind
+                    _step(df, source)
+            except Exception as e:
+                causes.append(f"{type(e).__name__}: {e}")  # the query's own failure buries it in a trace
+                raise
 
         def _step(df: DataFrame, source) -> None:
             rows = cut(df, "microbatch")  # the session of a micro-batch is another one than the warehouse's
@@ -75,7 +81,7 @@ def run_stream(warehouse: Warehouse, spec: TableSpec, *, per_version: bool = Fal
             try:
                 query.awaitTermination()
             except Exception as e:  # noqa: BLE001
-                summary.errors.append(f"{type(e).__name__}: {str(e)[:500]}")
+                summary.errors.append((causes[-1] if causes else f"{type(e).__name__}: {e}")[:500])
     return summary
 
 

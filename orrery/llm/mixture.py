@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: File of the tokenizer's ranks, on every machine; where the driver lacks it, blank-separated words are counted.
+from orrery.runtime import cut
+
+#: File of the tokenizer's ranks, on every machine.
 TOKENIZER = os.environ.get("ORRERY_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the public pattern by which the byte-level vocabulary of 50k cuts a text.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters tokenized at once, cut at blanks: bounds the work on texts without end.
+#: Characters tokenized at once, more where no blank stands between two words: bounds the work on texts without end.
 _PIECE = 100_000
+#: Where a text can be cut without changing its tokens: before a single blank between two words, which belongs to the second.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Bits of the seeded order that one histogram resolves, and the documents that may be ordered exactly in one task.
 BITS, EXACT = 10, 50_000
 
@@ -34,11 +40,21 @@ def _encoder(path: str):
     return _encoders[path]
 
 
-def _counter(path: str):
-    known = os.path.exists(path)  # decided once, here: an executor without the file fails instead of counting otherwise
+def pieces(text: str, size: int = _PIECE) -> Iterator[str]:
+    """A text in pieces of at least ``size`` characters whose tokens are those of the whole."""
+    start = 0
+    while len(text) - start > size and (cut := _CUT.search(text, start + size)):
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
+def _counter(path: str | None):
+    if path is not None and not os.path.exists(path):
+        raise FileNotFoundError(f"no tokenizer at {path}; name another file, or None to count blank-separated words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path) if known else None
+        encoder = _encoder(path) if path is not None else None
         for batch in batches:
             at = batch.schema.get_field_index("__text")
             n = []
@@ -48,15 +64,18 @@ def _counter(path: str):
                 elif encoder is None:
                     n.append(len(t.split()))
                 else:
-                    n.append(sum(len(encoder.encode_ordinary(t[i : i + _PIECE])) for i in range(0, len(t), _PIECE)))
+                    n.append(sum(len(encoder.encode_ordinary(p)) for p in pieces(t)))
             rest = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], pa.array(n, pa.int64())], names=[*[batch.schema.names[i] for i in rest], "tokens"])
 
     return run
 
 
-def with_tokens(documents: DataFrame, keep: list[str], text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """The columns ``keep`` and ``tokens``, the text's size in tokens; 0 for NULL and empty texts. Whole texts are counted."""
+def with_tokens(documents: DataFrame, keep: list[str], text: str = "text", tokenizer: str | None = TOKENIZER) -> DataFrame:
+    """The columns ``keep`` and ``tokens``, the text's size in tokens; 0 for NULL and empty texts. Whole texts are counted.
+
+    ``tokenizer``: a file of ranks, which the driver and all executors must have (FileNotFoundError); None counts blank-separated words instead.
+    """
     rows = documents.select(*keep, F.col(text).alias("__text"))
     return rows.mapInArrow(_counter(tokenizer), T.StructType([*[rows.schema[k] for k in keep], T.StructField("tokens", T.LongType())]))
 
@@ -144,10 +163,8 @@ def plan_mixture(patterns: dict[tuple[str, ...], int], targets: list[Target], to
 
 
 def read_targets(targets: DataFrame) -> list[Target]:
-    """One target per source name (trimmed, lower case), of repeated ones the largest; NULL weights and repeats are 0. The table has a row per source, at most 10,000."""
-    rows = targets.filter("source IS NOT NULL").select(F.lower(F.trim("source")).alias("s"), "weight", "max_repeats").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 target sources")
+    """One target per source name (trimmed, lower case), of repeated ones the largest; NULL weights and repeats are 0. The flow has a node per source: the driver holds a row for each."""
+    rows = targets.filter("source IS NOT NULL").groupBy(F.lower(F.trim("source")).alias("s")).agg(F.max(F.struct(F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"))).alias("t")).select("s", "t.*").collect()
     best: dict[str, Target] = {}
     for r in sorted(rows, key=lambda r: (r["weight"] or 0.0, r["max_repeats"] or 0)):
         best[r["s"]] = Target(r["s"], float(r["weight"] or 0.0), int(r["max_repeats"] or 0))
@@ -198,67 +215,70 @@ def selected_report(sized: DataFrame, key: str, members: str, targets: list[Targ
     return out
 
 
+def _ranges(plan: dict, sizes: dict[str, float], groups: dict[tuple[str, ...], list[str]]) -> list[tuple]:
+    """What each source takes of each pattern: (pattern, source, whole uses, and up to two ranges of the seeded order in tokens).
+
+    The parts of a pattern that sources use once more follow one another around its order, so that two sources share documents only where all of them are in use.
+    """
+    out, offset = [], {}
+    for (group, source), tokens in sorted(plan.items()):
+        whole = sum(sizes[p] for p in groups[group])
+        for p in groups[group]:
+            full, left, w = int(tokens // whole), (tokens % whole) / whole * sizes[p], sizes[p]
+            a = offset.get(p, 0.0)
+            b = a + left
+            offset[p] = b % w
+            out.append((p, source, full, a, min(b, w), 0.0, max(0.0, b - w)))
+    return out
+
+
 def picked_documents(sized: DataFrame, key: str, members: str, targets: list[Target], seed: int = 17, exact: int = EXACT) -> DataFrame:
     """(key, source, copies, tokens): how often each document goes into the mixture for each source; documents not used have no row.
 
-    A pattern's tokens are used whole as often as the plan fills it; of the rest documents are picked in a seeded order until
-    the plan's tokens are reached (short of it by less than one document). The order is a hash; a histogram of its first ten bits (1024 rows a
-    pattern) gives the cell in which the tokens run out, which is resolved by the next ten bits while it holds more than ``exact`` documents; only
-    the last cell is ordered exactly. NULL keys are left out.
+    A pattern's documents are used whole as often as the plan fills it; the rest of the plan's tokens is a range of the pattern's seeded order (a hash), and the ranges of
+    its sources follow one another, so that no document is used twice for what fresh ones could give. A document is picked if it lies wholly in the range, so a
+    source falls short of the plan by less than a document at each end of a range. Where a document lies is told by a histogram of the hash's first ten bits (1,024 cells a pattern, as a table); a cell in which a range ends
+    is resolved by the next ten bits while it holds more than ``exact`` documents, and only then ordered exactly. NULL keys are left out.
     """
     from pyspark.sql import Window
 
     spark = sized.sparkSession
-    rows = sized.filter(F.col(key).isNotNull()).select(key, F.concat_ws("\u0001", F.array_sort(F.array_distinct(members))).alias("p"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"), "tokens")
-    schema = "p string, source string, full int, depth int, cell bigint, left double"
-
-    def prefix(bits) -> Column:
-        return F.shiftrightunsigned("h", 64 - bits)
-
-    def histogram(part: DataFrame, bits: int) -> dict[str, dict[int, tuple[int, int]]]:
-        out: dict[str, dict[int, tuple[int, int]]] = {}
-        for r in part.groupBy("p", prefix(bits).alias("c")).agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("docs")).collect():
-            out.setdefault(r["p"], {})[r["c"]] = (r["n"], r["docs"])
-        return out
-
-    cells = histogram(rows, BITS)
-    whole = {p: sum(n for n, _ in c.values()) for p, c in cells.items()}
+    rows = sized.filter(F.col(key).isNotNull()).select(key, F.concat_ws("\u0001", F.array_sort(F.array_distinct(members))).alias("p"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    sizes = {r["p"]: float(r["n"] or 0) for r in rows.groupBy("p").agg(F.sum("tokens").alias("n")).collect()}  # a number per pattern, as the flow needs
     named = {t.source for t in targets}
     groups: dict[tuple[str, ...], list[str]] = {}
-    for p in cells:
-        groups.setdefault(tuple(sorted(set(p.split("\u0001")) & named)), []).append(p)
-    # for each pattern and source: whole uses, and the tokens of one more use that are to be filled in the seeded order
-    todo = {}
-    for (group, source), tokens in plan_mixture({tuple(p.split("\u0001")): n for p, n in whole.items() if p}, targets).items():
-        size = sum(whole[p] for p in groups[group])
-        for p in groups[group]:
-            todo[p, source] = (int(tokens // size), (tokens % size) / size * whole[p])
-    steps = []
-    depth, ranges = 1, {k: cells[k[0]] for k in todo}
-    while todo:
-        deeper = {}
-        for (p, source), (full, left) in todo.items():
-            cell, docs = 1 << BITS * depth, 0
-            for c in sorted(ranges[p, source]):
-                n, many = ranges[p, source][c]
-                if n > left:
-                    cell, docs = c, many
-                    break
-                left -= n
-            if docs > exact and BITS * (depth + 1) <= 60:
-                deeper[p, source] = (full, left, cell)
-            else:
-                steps.append((p, source, full, depth, cell, float(left)))
-        todo = {k: v[:2] for k, v in deeper.items()}
-        if deeper:
-            wanted = spark.createDataFrame(sorted({(p, cell) for (p, _), (_, _, cell) in deeper.items()}), "p string, c bigint")
-            part = rows.join(F.broadcast(wanted), (rows["p"] == wanted["p"]) & (prefix(BITS * depth) == wanted["c"]), "left_semi")
-            depth += 1
-            found = histogram(part, BITS * depth)
-            ranges = {(p, s): {c: x for c, x in found[p].items() if c >> BITS == cell} for (p, s), (_, _, cell) in deeper.items()}
-    # a row per pattern and source
-    plan = spark.createDataFrame(steps, schema)
-    placed = rows.join(F.broadcast(plan), "p").withColumn("at", F.expr(f"shiftrightunsigned(h, 64 - {BITS} * depth)"))
-    edge = placed.filter("at = cell").withColumn("upto", F.sum("tokens").over(Window.partitionBy("p", "source").orderBy("h", key)))
-    picked = placed.filter("at <> cell").withColumn("copies", F.col("full") + (F.col("at") < F.col("cell")).cast("int")).unionByName(edge.withColumn("copies", F.col("full") + (F.col("upto") <= F.col("left")).cast("int")).drop("upto"))
+    for p in sorted(sizes):
+        if sizes[p]:
+            groups.setdefault(tuple(sorted(set(p.split("\u0001")) & named)), []).append(p)
+    plan = plan_mixture({tuple(p.split("\u0001")): n for p, n in sizes.items() if p}, targets)
+    shares = spark.createDataFrame(_ranges({k: n for k, n in plan.items() if n > 0}, sizes, groups), "p string, source string, full int, a double, b double, c double, d double")
+    ends = shares.select("p", F.explode(F.array("a", "b", "c", "d")).alias("end")).distinct()
+
+    def cell(depth: int) -> Column:
+        return F.shiftrightunsigned("h", 64 - BITS * depth)
+
+    def cells(part: DataFrame, depth: int) -> DataFrame:
+        """The cells of a depth: where they start and end in the pattern's order, and whether a range ends inside. ``part`` has the place ``base`` where its next coarser cell starts."""
+        within = Window.partitionBy("p", "base").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # 1,024 rows
+        found = part.groupBy("p", "base", cell(depth).alias("cell")).agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("docs"))
+        placed = found.withColumn("x", F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0))).withColumn("y", F.col("x") + F.col("n"))
+        split = placed.join(ends, "p", "left").groupBy("p", "base", "cell", "n", "docs", "x", "y").agg(F.max(((F.col("end") > F.col("x")) & (F.col("end") < F.col("y"))).cast("int")).alias("mixed"))
+        return cut(split.select("p", "cell", "docs", "x", "y", (F.coalesce("mixed", F.lit(0)) > 0).alias("mixed")), "cells")
+
+    parts, depth, part = [], 1, rows.withColumn("base", F.lit(0).cast("bigint"))
+    while True:
+        known = cells(part, depth)
+        last = BITS * (depth + 1) > 60
+        deeper = F.col("mixed") & (F.col("docs") > exact) & F.lit(not last)
+        located = part.drop("base").withColumn("cell", cell(depth)).join(known.withColumnRenamed("p", "__p"), (F.col("p") == F.col("__p")) & (cell(depth) == known["cell"])).drop("__p", known["cell"])
+        within = Window.partitionBy("p", "cell").orderBy("h", key).rowsBetween(Window.unboundedPreceding, 0)
+        ordered = located.filter(F.col("mixed") & ~deeper).withColumn("y", F.col("x") + F.sum("tokens").over(within)).withColumn("x", F.col("y") - F.col("tokens"))
+        parts += [located.filter(~F.col("mixed")).select(key, "p", "tokens", "x", "y"), ordered.select(key, "p", "tokens", "x", "y")]
+        if known.filter(deeper).limit(1).isEmpty():
+            break
+        part, depth = located.filter(deeper).select(key, "p", "h", "tokens", F.col("x").alias("base")), depth + 1
+    placed = reduce(DataFrame.unionByName, parts)
+    inside = lambda a, b: (F.col("x") >= F.col(a)) & (F.col("y") <= F.col(b))
+    more = (F.col("tokens") > 0) & (inside("a", "b") | inside("c", "d"))
+    picked = placed.join(shares, "p").withColumn("copies", F.col("full") + more.cast("int"))
     return picked.filter("copies > 0").select(key, "source", "copies", "tokens")

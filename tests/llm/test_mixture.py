@@ -86,8 +86,36 @@ def test_targets_and_tokens(spark, tmp_path):
     docs = spark.createDataFrame([(1, "two words"), (2, None), (3, ""), (4, "x" * 300_000), (5, "<|endoftext|>")], "doc_id bigint, text string").withColumn("tokens", F.lit("clash"))
     counted = {r["doc_id"]: r["tokens"] for r in with_tokens(docs, ["doc_id"]).collect()}
     assert counted[1] == 2 and counted[2] == counted[3] == 0 and counted[4] > 1000 and counted[5] > 1
-    words = {r["doc_id"]: r["tokens"] for r in with_tokens(docs, ["doc_id"], tokenizer=str(tmp_path / "none")).collect()}
+    words = {r["doc_id"]: r["tokens"] for r in with_tokens(docs, ["doc_id"], tokenizer=None).collect()}
     assert words == {1: 2, 2: 0, 3: 0, 4: 1, 5: 1}
+    with pytest.raises(FileNotFoundError):
+        with_tokens(docs, ["doc_id"], tokenizer=str(tmp_path / "none"))
+
+
+def test_pieces_have_the_tokens_of_the_whole():
+    from orrery.llm.mixture import TOKENIZER, _encoder, pieces
+
+    rng = random.Random(3)
+    encode = _encoder(TOKENIZER).encode_ordinary
+    for _ in range(30):
+        text = "".join(rng.choice(["word", " ", "  ", "\n", " tail", "x1", ", ", "é", "don't", "\u3000"]) for _ in range(400))
+        cut = list(pieces(text, rng.randint(1, 60)))
+        assert "".join(cut) == text and sum(len(encode(p)) for p in cut) == len(encode(text))
+    long = "some words of a text " * 12_000
+    assert sum(len(encode(p)) for p in pieces(long)) == len(encode(long))
+
+
+@pytest.mark.parametrize("exact", [50_000, 3])
+def test_sources_of_one_pattern_take_different_documents(spark, exact):
+    """Two sources want half each of the documents they share: every document once; at three quarters each, half of them twice."""
+    df = spark.range(1000).select("id", F.array(F.lit("a"), F.lit("b")).alias("members"), F.lit(10).cast("bigint").alias("tokens"))
+    once = select_documents(df, "id", "members", [Target("a", 0.25, 2), Target("b", 0.25, 2)], exact=exact).collect()
+    assert len(once) == 1000 == len({r["id"] for r in once}) and {r["copies"] for r in once} == {1} and sum(r["source"] == "a" for r in once) == 500
+    more = select_documents(df, "id", "members", [Target("a", 0.375, 2), Target("b", 0.375, 2)], exact=exact).collect()
+    used = {}
+    for r in more:
+        used[r["id"]] = used.get(r["id"], 0) + r["copies"]
+    assert len(used) == 1000 and sum(used.values()) == 1500 and max(used.values()) == 2
 
 
 def test_report_counts_the_documents_selected(spark):

@@ -20,16 +20,17 @@ BLOCK_WORDS = 500_000
 SHINGLE = 5
 
 
-def bit_sums(hashes: np.ndarray) -> np.ndarray:
-    """Row i has, for each of the 64 bits, how many of the first i hashes have it, modulo 256: one pass serves windows of every size."""
+def bit_sums(hashes: np.ndarray, size: int = 255) -> np.ndarray:
+    """Row i has, for each of the 64 bits, how many of the first i hashes have it, in numbers that differences over ``size`` words fit in: one pass serves windows of every size up to it."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(hashes) + 1, 64), np.uint8)
-    np.cumsum(bits, axis=0, dtype=np.uint8, out=sums[1:])
+    kind = np.uint8 if size < 1 << 8 else np.uint16 if size < 1 << 16 else np.uint32
+    sums = np.zeros((len(hashes) + 1, 64), kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=sums[1:])
     return sums
 
 
 def simhashes(sums: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of every window of ``size`` words (at most 255) from ``bit_sums``: bit b is set where most of the words' hashes have it."""
+    """SimHash of every window of ``size`` words from ``bit_sums``: bit b is set where most of the words' hashes have it."""
     n = len(sums) - size
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -87,47 +88,70 @@ def similarity(a: Counter, b: Counter, weight) -> float:
     return least / most if most else 1.0
 
 
-def shingle_codes(hashes: np.ndarray) -> np.ndarray:
-    """A hash of every run of ``SHINGLE`` words."""
-    n = max(0, len(hashes) - SHINGLE + 1)
+def shingle_codes(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """A hash of every run of ``size`` words."""
+    n = max(0, len(hashes) - size + 1)
     out = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
+    for k in range(size):
         out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
     return out
 
 
 class ItemIndex:
-    """The windows of ``window`` words of a block of evaluation items: where each begins, and an index of their fingerprints."""
+    """The windows of ``window`` words of a block of evaluation items: where each begins, and an index of their fingerprints for each size.
 
-    def __init__(self, items: list[tuple[int, str]], window: int, radius: int, least: float):
-        self.least, self.size, self.overlap = least, window, window - 1
+    With ``short`` items of fewer words are one window of their own size; without they leak nowhere.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], window: int, radius: int, least: float, short: bool = False):
+        if window < 1 or least <= 0:
+            raise ValueError("a window needs a word, and the least similarity must be above 0")
+        self.least, self.largest, self.overlap = least, window, window - 1
         self.keys, self.words = [], []
-        starts, prints = [], [np.empty(0, np.uint64)]
+        starts: dict[int, list] = {}
+        prints: dict[int, list] = {}
+        seen: Counter = Counter()
         for key, text in items:
             w = words(text)
-            if len(w) < window:
+            size = min(len(w), window)
+            if not w or (size < window and not short):
                 continue
-            starts += [(len(self.keys), i) for i in range(len(w) - window + 1)]
-            prints.append(simhashes(bit_sums(word_hashes(w)), window))
+            starts.setdefault(size, []).extend((len(self.keys), i) for i in range(len(w) - size + 1))
+            prints.setdefault(size, []).append(simhashes(bit_sums(word_hashes(w), size), size))
+            seen.update(set(shingles(w)))
             self.keys.append(key)
             self.words.append(w)
-        self.starts, self.index = np.array(starts, np.int32).reshape(-1, 2), HammingIndex(np.concatenate(prints), radius)
+        #: shingles that several items share weigh less
+        self.shared = {x: n for x, n in seen.items() if n > 1}
+        self.sizes = {n: (np.array(starts[n], np.int32).reshape(-1, 2), HammingIndex(np.concatenate(prints[n]), radius)) for n in starts}
+
+    def weight(self, shingle: tuple) -> float:
+        return 1 / self.shared.get(shingle, 1)
 
     def leaks(self, docs: list[tuple[int, list[str]]]) -> Iterator[tuple[int, int, float]]:
-        """(document, item, similarity) of whatever the documents hold; the words of all documents are searched at once."""
+        """(document, item, similarity) of whatever the documents hold, the most similar window of each; the words of all documents are searched at once.
+
+        Candidates are windows whose fingerprints are near; the weighted similarity of their shingles admits them; asked for equality (1), so does that of their words.
+        """
         if not self.keys or self.least > 1.0:
             return
         text = [w for _, found in docs for w in found]
         ends = np.cumsum(np.array([len(found) for _, found in docs], np.int64))
-        q, f = self.index.search(simhashes(bit_sums(word_hashes(text)), self.size))
-        inside = np.searchsorted(ends, q, side="right") == np.searchsorted(ends, q + self.size - 1, side="right")
-        same = set()
-        for at, (i, offset) in zip(q[inside].tolist(), self.starts[f[inside]].tolist(), strict=True):
-            pair = docs[int(np.searchsorted(ends, at, side="right"))][0], self.keys[i]
-            if pair not in same and text[at : at + self.size] == self.words[i][offset : offset + self.size]:
-                same.add(pair)
-        for doc, key in same:
-            yield doc, key, 1.0
+        sums = bit_sums(word_hashes(text), self.largest)
+        best: dict[tuple[int, int], float] = {}
+        for size, (starts, index) in self.sizes.items():
+            q, f = index.search(simhashes(sums, size))
+            inside = np.searchsorted(ends, q, side="right") == np.searchsorted(ends, q + size - 1, side="right")
+            for at, (i, offset) in zip(q[inside].tolist(), starts[f[inside]].tolist(), strict=True):
+                pair = docs[int(np.searchsorted(ends, at, side="right"))][0], self.keys[i]
+                if best.get(pair, 0.0) >= 1.0:
+                    continue
+                found, item = text[at : at + size], self.words[i][offset : offset + size]
+                like = min(1.0, similarity(shingles(found), shingles(item), self.weight))
+                if like >= self.least - 1e-12 and like > best.get(pair, 0.0) and (self.least < 1.0 or found == item):
+                    best[pair] = like
+        for (doc, key), like in best.items():
+            yield doc, key, like
 
 
 class PassageIndex:
@@ -136,6 +160,7 @@ class PassageIndex:
     A window as similar as ``least`` shares shingles of ``least`` times the item's weight, so looking up every shingle of a
     text misses none, whatever the window's length. Dropping a shingle the item lacks from an end of a window never makes it less
     similar, and a window heavier than the item's weight / ``least`` is not similar enough, so only windows between shared shingles and up to that weight are tried.
+    A passage of fewer words than a shingle has is one itself: it leaks where its words stand, with similarity 1.
     """
 
     #: texts are searched whole, for a window has no fixed length
@@ -146,11 +171,14 @@ class PassageIndex:
             raise ValueError("the least similarity must be above 0")
         self.least = least
         self.keys, self.words = [], []
+        self.short: dict[int, dict[int, list[tuple[int, list[str]]]]] = {}
         seen: Counter = Counter()
         codes, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for key, text in items:
             w = words(text)
             if len(w) < SHINGLE:
+                if w:
+                    self.short.setdefault(len(w), {}).setdefault(int(shingle_codes(word_hashes(w), len(w))[0]), []).append((key, w))
                 continue
             seen.update(set(shingles(w)))
             codes.append(np.unique(shingle_codes(word_hashes(w))))
@@ -179,11 +207,13 @@ class PassageIndex:
 
     def leaks(self, docs: list[tuple[int, list[str]]]) -> Iterator[tuple[int, int, float]]:
         """(document, item, similarity) of whatever the documents hold; the words of all documents are searched at once."""
-        if not self.keys:
-            return
         text = [w for _, found in docs for w in found]
         ends = np.cumsum(np.array([len(found) for _, found in docs], np.int64))
-        codes = shingle_codes(word_hashes(text))
+        hashes = word_hashes(text)
+        yield from self._verbatim(docs, text, ends, hashes)
+        if not self.keys:
+            return
+        codes = shingle_codes(hashes)
         slot = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         hit = np.flatnonzero(self.codes[slot] == codes)
         weight = np.ones(len(codes))
@@ -216,6 +246,18 @@ class PassageIndex:
             if like >= self.least - 1e-12:
                 yield docs[int(doc[edges[g]])][0], self.keys[i], like
 
+    def _verbatim(self, docs: list, text: list[str], ends: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """Where the words of passages shorter than a shingle stand."""
+        same = set()
+        for size, known in self.short.items():
+            codes = shingle_codes(hashes, size)
+            for at in np.flatnonzero(np.isin(codes, np.fromiter(known, np.uint64, len(known)))).tolist():
+                doc = int(np.searchsorted(ends, at, side="right"))
+                if at + size <= ends[doc]:
+                    same.update((docs[doc][0], key) for key, w in known[int(codes[at])] if text[at : at + size] == w)
+        for doc, key in same:
+            yield doc, key, 1.0
+
     def _best(self, at: list[int], slots: list[int], weight: np.ndarray, upto: np.ndarray, places: Counter, whole: float) -> tuple[int, int] | None:
         """The words from and to of the most similar window, None if no window is near ``least``; ``at`` are the shared shingles in order."""
         best, window, most = self.least - 1e-9, None, whole / self.least + 1e-9
@@ -269,16 +311,16 @@ def _finder(index):
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "eval_id", passage: str = "passage", window: int | None = 8, radius: int = 3, least: float = 1.0, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "eval_id", passage: str = "passage", window: int | None = 8, radius: int = 3, least: float = 1.0, short: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, eval_id, similarity): which documents contain passages of which evaluation items.
 
-    With ``window`` an item leaks if any of its runs of that many consecutive words stands in a document. With
-    ``window=None`` the item's whole passage is compared with the document's windows of every length, and leaks if the most similar one
-    reaches ``least`` (above 0). Items with fewer words than the window (or, without, fewer than five) leak nowhere; there is no upper limit.
+    With ``window`` an item leaks if one of its runs of that many consecutive words stands in a document, or one as similar as ``least``; items of fewer words have no such run, with ``short`` they
+    count whole. With ``window=None`` the item's whole passage is compared with the document's windows of every length, and leaks if the most similar one
+    reaches ``least`` (above 0). Items may have any number of words from one on.
 
     With ``window`` every window of items and documents has a SimHash; a multi-index over radius + 1 blocks of bits finds all item windows within
-    ``radius`` bits of a document's window (equal windows have equal fingerprints, so none is missed), and equality of the words decides.
-    Without, fingerprints and ``radius`` play no part: every five-word shingle of the documents is looked up among the items', and the exact weighted
+    ``radius`` bits of a document's window, and the exact weighted similarity of their shingles admits those of ``least`` or more (of equal windows, which have equal fingerprints, none is missed; asked for 1 the words
+    are compared as well). Without, fingerprints and ``radius`` play no part: every five-word shingle of the documents is looked up among the items', and the exact weighted
     similarity of the windows between shared shingles decides, so none is missed. Whole texts are searched; NULL and empty texts and NULL ids have no rows.
 
     The items are the stated query set: they are dealt by hash into blocks of about ``block_words`` words, each held by the executors for one pass
@@ -292,7 +334,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id",
     found = None
     for b in range(blocks):
         rows = [(r[0], r[1]) for r in asked.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]  # about block_words words
-        index = spark.sparkContext.broadcast(PassageIndex(rows, least) if window is None else ItemIndex(rows, window, radius, least))
+        index = spark.sparkContext.broadcast(PassageIndex(rows, least) if window is None else ItemIndex(rows, window, radius, least, short))
         part = corpus.mapInArrow(_finder(index), "doc_id bigint, eval_id bigint, similarity double")
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "eval_id").agg(F.max("similarity").alias("similarity"))

@@ -29,6 +29,7 @@ def _table(spark, folder: str, name: str) -> DataFrame:
 
 @_query("p8_found")
 def p8_found(spark, folder) -> DataFrame:
+    # eight words in common are asked for: passages of fewer words have none
     return leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items")).select("doc_id", "eval_id")
 
 

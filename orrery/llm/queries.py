@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.leakage import leaked_items
 from orrery.llm.mixture import mixture_report, read_targets, select_documents, selected_report, with_tokens
-from orrery.llm.reading import fit_ranker, labelled_features, reading_levels
+from orrery.llm.reading import fit_languages, fit_ranker, labelled_features, reading_levels
 
 LLM_QUERIES: dict = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -78,7 +78,7 @@ def p9_selected(spark, folder) -> DataFrame:
 def _levels(spark, folder) -> DataFrame:
     documents = _table(spark, folder, "documents")
     x, y = labelled_features(documents, _table(spark, folder, "reading_labels"))
-    return reading_levels(documents, fit_ranker(x, y), keep=["doc_id", "source"]).filter("english AND words >= 40")
+    return reading_levels(documents, fit_ranker(x, y), keep=["doc_id", "source"], languages=fit_languages(documents)).filter("english AND words >= 40")
 
 
 @_query("p10_found")

@@ -17,35 +17,59 @@ HELD = 100_000
 
 
 class IntervalMap:
-    """Ordered disjoint closed intervals of whole numbers; touching ones are one.
+    """Ordered disjoint closed intervals of whole numbers, and the gaps between them; touching intervals are one.
 
-    ``insert`` finds the intervals it overlaps by binary search and merges them; what lies between two
-    neighbours is a gap, so merging updates the gaps too.
+    ``insert`` finds the intervals it overlaps by binary search (an interval behind all others goes to the end at once), merges them and
+    replaces the gaps around them.
     """
 
-    __slots__ = ("ends", "starts")
+    __slots__ = ("between", "ends", "starts")
 
     def __init__(self, intervals: list[tuple[int, int]] | None = None):
         self.starts: list[int] = []
         self.ends: list[int] = []
+        #: the gap after each interval but the last
+        self.between: list[tuple[int, int]] = []
         for a, b in intervals or []:
             self.insert(a, b)
 
+    @classmethod
+    def of(cls, starts: list[int], ends: list[int]) -> IntervalMap:
+        """A map of intervals that are disjoint and in order already."""
+        m = cls()
+        m.starts, m.ends = list(starts), list(ends)
+        m.between = [(e + 1, s - 1) for e, s in zip(m.ends, m.starts[1:], strict=False)]
+        return m
+
     def insert(self, a: int, b: int) -> None:
         if b < a:
             return
-        i = bisect_left(self.ends, a - 1)
-        j = bisect_right(self.starts, b + 1)
+        starts, ends, between = self.starts, self.ends, self.between
+        if not starts or a > ends[-1] + 1:
+            if starts:
+                between.append((ends[-1] + 1, a - 1))
+            starts.append(a)
+            ends.append(b)
+            return
+        i = bisect_left(ends, a - 1)
+        j = bisect_right(starts, b + 1)
+        if i + 1 == j and a >= starts[i] and b <= ends[i]:
+            return  # nothing new
+        last = len(starts) - 1
         if i < j:
-            a, b = min(a, self.starts[i]), max(b, self.ends[j - 1])
-        self.starts[i:j] = [a]
-        self.ends[i:j] = [b]
+            a, b = min(a, starts[i]), max(b, ends[j - 1])
+        around = [(ends[i - 1] + 1, a - 1)] if i else []
+        if j <= last:
+            around.append((b + 1, starts[j] - 1))
+        between[max(i - 1, 0) : min(j, last)] = around
+        starts[i:j] = [a]
+        ends[i:j] = [b]
 
     def periods(self) -> list[tuple[int, int]]:
         return list(zip(self.starts, self.ends, strict=True))
 
     def gaps(self) -> list[tuple[int, int]]:
-        return [(e + 1, s - 1) for e, s in zip(self.ends, self.starts[1:], strict=False)]
+        return list(self.between)
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -80,18 +104,20 @@ def _combine(held: int):
     return run
 
 
-def _merge_sorted(n_keys: int):
-    """Periods and gaps per key from rows sorted by key; only one key's map is held at a time."""
+def _merge_sorted(n_keys: int, held: int):
+    """Periods and gaps per key from rows sorted by key and start; only one key's map is held at a time, and of it no more than ``held`` intervals: what lies before the last can't change any more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, m, rows, schema = None, IntervalMap(), [], None
+        key, m, rows, schema, first = None, IntervalMap(), [], None, True
 
-        def close() -> None:
+        def hand_on(whole: bool) -> IntervalMap:
+            nonlocal first
             last = len(m) - 1
-            for i, (a, b) in enumerate(m.periods()):
-                rows.append((*key, "period", a, b, i == 0, i == last))
-            for a, b in m.gaps():
-                rows.append((*key, "gap", a, b, False, False))
+            for i, (a, b) in enumerate(m.periods() if whole else m.periods()[:-1]):
+                rows.append((*key, "period", a, b, first and i == 0, whole and i == last))
+            rows.extend((*key, "gap", a, b, False, False) for a, b in m.gaps())
+            first = whole
+            return IntervalMap() if whole else IntervalMap.of(m.starts[-1:], m.ends[-1:])
 
         def out() -> pa.RecordBatch:
             types = [*schema.types[:n_keys], pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
@@ -101,17 +127,18 @@ def _merge_sorted(n_keys: int):
         for batch in batches:
             schema = batch.schema
             for *k, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                k = tuple(k)
                 if k != key:
                     if key is not None:
-                        close()
-                    key, m = k, IntervalMap()
-                    if len(rows) >= 50_000:
-                        yield out()
-                        rows = []
+                        m = hand_on(True)
+                    key = k
+                elif len(m) > held:
+                    m = hand_on(False)
+                if len(rows) >= 50_000:
+                    yield out()
+                    rows.clear()
                 m.insert(a, b)
         if key is not None:
-            close()
+            hand_on(True)
         if rows:
             yield out()
 
@@ -173,7 +200,7 @@ def periods_and_gaps(spans: DataFrame, keys: list[str], start: str, end: str, *,
         *[placed.schema[k] for k in parts], T.StructField("kind", T.StringType()), T.StructField("from_us", T.LongType()), T.StructField("to_us", T.LongType()),
         T.StructField("is_first", T.BooleanType()), T.StructField("is_last", T.BooleanType()),
     ])
-    merged = placed.repartition(*parts).sortWithinPartitions(*parts, "__a").mapInArrow(_merge_sorted(len(parts)), out)
+    merged = placed.repartition(*parts).sortWithinPartitions(*parts, "__a").mapInArrow(_merge_sorted(len(parts), held), out)
     result = [*keys, "kind", "from_us", "to_us"]
     if not split.hot:
         return merged.select(*result)

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.runtime import broadcast_if_small, cut
+
 #: Entities in one ordinal range: a range's columns are assembled in one task's memory.
 RANGE = 50_000
-#: Ranges at most: the driver holds one number for each; beyond it ranges grow instead.
-RANGES = 200_000
+#: Ranges whose first ordinals are summed up in one task.
+GROUP = 10_000
 
 _NONE = ("", "n/a", "unknown", "none", "null", "tbd", "-", "?")
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
@@ -83,27 +85,27 @@ KINDS = {
 }
 
 
-def _stitch(fields: list[str], kinds: list[str], starts: dict[int, int]):
+def _stitch(fields: list[str], kinds: list[str]):
     """Assembles the columns of each ordinal range by position; rows come sorted by range and entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {f: i for i, f in enumerate(fields)}
-        key_type, part, entity = None, None, None
+        key_type, part, entity, start = None, None, None, 0
         keys, counts, columns = [], [], []
 
         def assemble() -> pa.RecordBatch:
             n = len(keys)
             typed = [pa.array([c.get(i) for i in range(n)], pa.string()).cast(KINDS[k][2]) for c, k in zip(columns, kinds, strict=True)]
-            ordinals = pa.array(range(starts[part], starts[part] + n), pa.int64())
+            ordinals = pa.array(range(start, start + n), pa.int64())
             return pa.RecordBatch.from_arrays([ordinals, pa.array(keys, key_type), pa.array(counts, pa.int32()), *typed], names=["ordinal", "entity", "n_fields", *fields])
 
         for batch in batches:
             key_type = batch.schema.field("entity").type
-            for p, k, f, v in zip(*[batch.column(c).to_pylist() for c in ("part", "entity", "field", "value")], strict=True):
+            for p, at0, k, f, v in zip(*[batch.column(c).to_pylist() for c in ("part", "start", "entity", "field", "value")], strict=True):
                 if p != part:
                     if keys:
                         yield assemble()
-                    part, entity, keys, counts, columns = p, None, [], [], [{} for _ in fields]
+                    part, start, entity, keys, counts, columns = p, at0, None, [], [], [{} for _ in fields]
                 if not keys or k != entity:
                     entity = k
                     keys.append(k)
@@ -134,16 +136,18 @@ def widen(rows: DataFrame, *, entity: str, field: str, value: str, order: list[s
     typed = F.lit(None).cast("string")
     for name, kind in fields.items():
         typed = F.when(F.col("field") == name, KINDS[kind][0](F.col("raw"))).otherwise(typed)
-    many = min(RANGES, max(1, -(-named.agg(F.approx_count_distinct("entity")).first()[0] // range_size)))
-    from orrery.runtime import cut
-
+    many = max(1, -(-named.agg(F.approx_count_distinct("entity")).first()[0] // range_size))
     laid = cut(cells.select(F.pmod(F.xxhash64("entity"), F.lit(many)).cast("int").alias("part"), "entity", "field", typed.alias("value")), "cells")
-    sizes = {r["part"]: r["n"] for r in laid.groupBy("part").agg(F.count_distinct("entity").alias("n")).collect()}  # a row per range
-    starts, total = {}, 0
-    for p in sorted(sizes):
-        starts[p], total = total, total + sizes[p]
+    # a row per range: where its ordinals start. Ranges are numbered in groups, so that no task holds all of them
+    sizes = laid.groupBy("part").agg(F.count_distinct("entity").alias("n"))
+    grouped = sizes.withColumn("g", (F.col("part") / GROUP).cast("int"))
+    inside, across = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    before = grouped.groupBy("g").agg(F.sum("n").alias("n")).select("g", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("before"))  # a row per GROUP x RANGE entities
+    starts = grouped.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(before, "g").select("part", (F.col("before") + F.col("within")).alias("start"))
+    starts = cut(starts, "starts")
     schema = T.StructType([
         T.StructField("ordinal", T.LongType()), T.StructField("entity", laid.schema["entity"].dataType), T.StructField("n_fields", T.IntegerType()),
         *[T.StructField(f, KINDS[k][1]) for f, k in fields.items()],
     ])
-    return laid.repartition("part").sortWithinPartitions("part", "entity", "field").mapInArrow(_stitch(list(fields), list(fields.values()), starts), schema)
+    located = laid.join(broadcast_if_small(starts), "part").select("start", "part", "entity", "field", "value")
+    return located.repartition("part").sortWithinPartitions("part", "entity", "field").mapInArrow(_stitch(list(fields), list(fields.values())), schema)

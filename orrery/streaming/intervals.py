@@ -19,9 +19,7 @@ def stream_periods(spans: DataFrame, key: str, start: str, end: str) -> DataFram
     """
 
     def update(k: tuple[Any, ...], frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        m = IntervalMap()
-        if state.exists:
-            m.starts, m.ends = list(state.get[0]), list(state.get[1])
+        m = IntervalMap.of(*state.get) if state.exists else IntervalMap()
         for frame in frames:
             for a, b in zip(frame[start], frame[end], strict=True):
                 if not pd.isna(a) and not pd.isna(b):

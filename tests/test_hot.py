@@ -10,6 +10,7 @@ from orrery.operators.changes import apply_changes
 from orrery.operators.history import merge_history
 from orrery.operators.hot import CHUNK, heavy_keys, neighbours, split_hot
 from orrery.operators.intervals import IntervalMap, periods_and_gaps
+from orrery.runtime import cut
 
 HOT = {"share": 0.1, "least": 10}
 
@@ -66,6 +67,34 @@ def test_history(spark, limits):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("limits", [{}, HOT])
+def test_loads_one_after_the_other_give_the_history_of_all_at_once(spark, limits):
+    """Late rows included: a history that keeps what confirmed a version knows that it held again after a late change."""
+    rng = random.Random(13)
+    rows = list({(k, t, load): (k, t, rng.choice("ab"), load) for k, t in skewed(300, 13) for load in [rng.randrange(4)]}.values())
+    df = spark.createDataFrame(rows, "k int, t bigint, v string, load int")
+    how = {"key": "k", "at": "t", "tracked": ["v"], "tie": ["load"], **limits}
+    shown = lambda h: sorted(map(tuple, h.select("k", "v", "valid_from_us", "valid_to_us", "is_current").collect()))
+    kept = None
+    for load in range(4):
+        kept = cut(merge_history(df.filter(F.col("load") == load), current=kept, repeats=True, **how))
+    assert shown(kept.filter("is_version")) == shown(merge_history(df, **how)) and kept.filter("NOT is_version").count() > 0
+
+
+def test_interval_map_keeps_its_gaps():
+    rng = random.Random(15)
+    for _ in range(200):
+        m, units = IntervalMap(), set()
+        for _ in range(rng.randrange(1, 25)):
+            a = rng.randrange(60)
+            b = a + rng.choice([-1, 0, 1, 5, 20])
+            m.insert(a, b)
+            units |= set(range(a, b + 1))
+            assert m.gaps() == [(e + 1, s - 1) for e, s in zip(m.ends, m.starts[1:], strict=False)]
+        assert {x for a, b in m.periods() for x in range(a, b + 1)} == units and all(a <= b for a, b in m.gaps())
+        assert IntervalMap.of(m.starts, m.ends).gaps() == m.gaps()
+
+
 @pytest.mark.parametrize("limits", [{}, HOT])
 def test_changes(spark, limits):
     rng = random.Random(4)

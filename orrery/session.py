@@ -6,8 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
-#: Settings that hold at any scale. Partition counts are left to adaptive execution,
-#: which coalesces small shuffle partitions and splits skewed join partitions at run time.
+#: Settings that hold at any scale. Adaptive execution joins small shuffle partitions and splits skewed join partitions at run time, but
+#: never makes more partitions than a shuffle starts with: on a cluster that number is the cluster's (``spark.sql.shuffle.partitions``, a few per core), on one machine one per core.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -26,6 +26,7 @@ def session(master: str | None = None, app: str = "orrery", **extra: str) -> Spa
     settings = SETTINGS | {
         "spark.ui.enabled": "false",
         "spark.driver.memory": os.environ.get("ORRERY_DRIVER_MEMORY", "8g"),
-        "spark.sql.shuffle.partitions": os.environ.get("ORRERY_SHUFFLE_PARTITIONS", "8"),
     }
+    if partitions := os.environ.get("ORRERY_SHUFFLE_PARTITIONS") or ("8" if master and master.startswith("local") else None):
+        settings["spark.sql.shuffle.partitions"] = partitions
     return builder.config(map=settings | extra).getOrCreate()

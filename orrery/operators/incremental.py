@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.runtime import cut, delete, drop_cut, fresh_path, refuse_object_store
+from orrery.runtime import cut, delete, fresh_path, refuse_object_store
 
 
 class KeyHashState:
@@ -161,7 +161,7 @@ def incremental_run(state: KeyHashState, rows: DataFrame, content: list[str], or
 
 def plain_name(name: Column) -> Column:
     """A table name for comparison: no backticks, no outer blanks, lower case."""
-    return F.lower(F.trim(F.regexp_replace(name, r"[`\t\r\n]", "")))
+    return F.lower(F.trim(F.translate(name, "`\t\r\n", "")))
 
 
 def watermarks(control: DataFrame) -> DataFrame:
@@ -190,17 +190,14 @@ def pending_changes(control: DataFrame, changes: DataFrame, path: str) -> DataFr
     are written out, and the state with them is swapped in. A run that dies before the swap gives the same changes again, a further run none of them.
     Uncommitted changes (NULL version) and sources of no pair have no row. NULL change ids are a change.
     """
-    keys, content, order = ["target_table", "source_table", "change_id"], ["_change_type", "_commit_version", "payload"], ["_commit_version"]
-    marks = cut(watermarks(control), "marks")  # a row per pair
-    committed = (
-        changes.filter(F.col("_commit_version").isNotNull())
-        .select(plain_name(F.col("source_table")).alias("__source"), "change_id", *content)
-        .join(marks, F.col("__source") == F.col("source_table"))
-    )
+    keys, order = ["pair", "change_id"], ["_commit_version"]
+    # a row per pair; inside, a pair is the hash of its names
+    marks = cut(watermarks(control).withColumn("pair", F.xxhash64("target_table", "source_table")), "marks")
+    # hashed before the pairs of a source multiply its changes
+    hashed = changes.filter(F.col("_commit_version").isNotNull()).select(plain_name(F.col("source_table")).alias("__source"), "change_id", "_commit_version", content_hash(["_change_type", "_commit_version", "payload"]).alias("digest"))
+    committed = hashed.join(marks, F.col("__source") == F.col("source_table")).select(*keys, "_commit_version", "digest", "watermark")
     state = KeyHashState(changes.sparkSession, path, keys)
     if state.version() == 0:
-        state.swap(hashed_records(committed.filter(F.col("_commit_version") <= F.col("watermark")), keys, content, order), 0)
-    with incremental_run(state, committed, content, order) as todo:
-        out = cut(todo.select(*keys), "pending")
-    drop_cut(marks)
-    return out
+        state.swap(hashed_records(committed.filter(F.col("_commit_version") <= F.col("watermark")), keys, ["digest"], order), 0)
+    with incremental_run(state, committed, ["digest"], order) as todo:
+        return cut(todo.join(marks, "pair").select("target_table", "source_table", "change_id"), "pending")

@@ -24,6 +24,8 @@ _HASH, CHUNK = "__orrery_hash", "__orrery_chunk"
 _TRACKED = 4
 #: Rows of a hot key that are drawn for each of its pieces, to find where to cut.
 _DRAWN = 500
+#: Estimated bytes up to which a table is counted before it is sketched.
+_COUNTED = 256 * 1024 * 1024
 #: Sketches of the scan's tasks are united in this many groups before the last one.
 _GROUPS = 256
 
@@ -58,6 +60,10 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float = SHARE, least: int
 
 def _heavy(df: DataFrame, keys: list[str], share: float, least: int) -> tuple[dict[int, int], float]:
     """The heavy keys, and the number of rows from which a key is one."""
+    df = df.select(*keys)
+    # a small table is counted first: with ``least`` rows or fewer no key is hot, and the sketch would cost more than the count
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= _COUNTED and df.count() <= least:  # noqa: SLF001
+        return {}, least
     top = int(1 / share) + 10
     tracked = _TRACKED * top
     parts = df.select(key_hash(keys).alias("h")).groupBy(F.pmod(F.spark_partition_id(), F.lit(_GROUPS)).alias("g")).agg(F.expr(f"approx_top_k_accumulate(h, {tracked})").alias("s"), F.count(F.lit(1)).alias("n"))

@@ -79,6 +79,13 @@ def cdf_dedup_upsert_wins(spark, folder) -> DataFrame:
     return fd.dedup_upsert_wins(order_feed(spark, folder), ["order_id"]).select("order_id", F.col("_commit_version").alias("version"), (F.col("_change_type") == "delete").alias("gone"))
 
 
+@query("cdf_reattach", "SELECT order_id, status, max(_commit_version) AS version FROM order_feed GROUP BY 1, 2")
+def cdf_reattach(spark, folder) -> DataFrame:
+    """Rows whose SQL dropped the feed's metadata get it back from the latest change that had their values."""
+    feed = table(spark, folder, "order_feed").select("order_id", "status", "_change_type", "_commit_version")
+    return fd.reattach({"feed": feed}, feed.select("order_id", "status").distinct()).select("order_id", "status", F.col("_commit_version").alias("version"))
+
+
 @query("cdf_range", f"""WITH {_FEED} SELECT t AS change_type, count(*) AS n, min(v) AS first_version, max(v) AS last_version FROM feed
 WHERE v BETWEEN (SELECT min(v) FROM feed) + 1000 AND (SELECT max(v) FROM feed) - 1000 GROUP BY 1""")
 def cdf_range(spark, folder) -> DataFrame:
@@ -437,6 +444,14 @@ def broker_resolution_stats(spark, folder) -> DataFrame:
     return fct.resolution_stats(_resolved(spark, folder), "customer_sk")
 
 
+@query("broker_distinct_resolution", f"""WITH {_CUST}, {_RESOLVED} SELECT count(DISTINCT customer_id) AS given, count(DISTINCT CASE WHEN customer_sk NOT IN (-1, -2, -3, -4) THEN customer_id END) AS resolved
+FROM resolved WHERE customer_id IS NOT NULL AND customer_sk <> -2""")
+def broker_distinct_resolution(spark, folder) -> DataFrame:
+    """Distinct customers that orders name, and those of orders that got a key."""
+    n = fct.unmatched_identities(_resolved(spark, folder), ["customer_id"], "customer_sk")
+    return spark.createDataFrame([(n["given"], n["resolved"])], "given bigint, resolved bigint")
+
+
 @query("broker_missing", f"WITH {_CUST}, {_HEADS} SELECT customer_id, min(moment) AS first_us FROM heads WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT customer_id FROM day2) GROUP BY 1")
 def broker_missing(spark, folder) -> DataFrame:
     return fct.missing_members(_order_facts(spark, folder), _members(spark, folder), {"customer_id": "customer_id"}, first="at").select("customer_id", us("__first").alias("first_us"))
@@ -609,9 +624,10 @@ def fact_upsert(spark, folder) -> DataFrame:
     return scd1_delete_hard(spark, folder).groupBy("status").agg(F.count(F.lit(1)).alias("orders"))
 
 
-@query("fact_append", "SELECT order_id, status FROM order_feed WHERE _change_type = 'insert'")
+@query("fact_append", "SELECT order_id, status FROM order_feed WHERE _change_type <> 'update_preimage'")
 def fact_append(spark, folder) -> DataFrame:
-    return fd.append_rows(table(spark, folder, "order_feed").filter("_change_type = 'insert'")).select("order_id", "status")
+    """An append-only fact takes every row of the feed but before-images."""
+    return fd.append_rows(fd.changes_between(table(spark, folder, "order_feed"), 0)).select("order_id", "status")
 
 
 @query("periodic_snapshot", "SELECT o_custkey AS customer, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DECIMAL(38,2)) AS total FROM orders GROUP BY ALL")
@@ -727,6 +743,12 @@ def contract_unique(spark, folder) -> DataFrame:
     return dq.unique_rule(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"]).select("failed")
 
 
+@query("contract_unique_samples", """SELECT '{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || '}' AS key FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 ORDER BY count(*) DESC, key LIMIT 5""")
+def contract_unique_samples(spark, folder) -> DataFrame:
+    """The keys that a failed uniqueness rule shows: the five most repeated."""
+    return dq.unique_rule(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"]).select(F.explode("samples").alias("key"))
+
+
 @query("temporal_findings", f"""WITH {_FEED}, f AS (SELECT *, lag(moment) OVER (PARTITION BY order_id ORDER BY v, moment, t, status) AS p FROM (SELECT DISTINCT order_id, moment, v, NULL AS t, NULL AS status FROM feed)),
 s AS (SELECT order_id, max(moment) AS m FROM feed WHERE ts < TIMESTAMP '{CUT}' GROUP BY 1)
 SELECT count(*) FILTER (moment < {_CUT_US}) AS late, count(*) FILTER (moment < p) AS disorder, count(*) FILTER (moment < m) AS cross_batch FROM f LEFT JOIN s ON s.order_id = f.order_id""")

@@ -53,7 +53,7 @@ def _into_buckets(intervals: DataFrame, bits: int, span: int) -> DataFrame:
     return intervals
 
 
-def interval_join(events: DataFrame, intervals: DataFrame, *, on: dict[str, str], at: Column, start: Column, end: Column, carry: Sequence[str], how: str = "inner", dense: int = DENSE) -> DataFrame:
+def interval_join(events: DataFrame, intervals: DataFrame, *, on: dict[str, str], at: Column, start: Column, end: Column, carry: Sequence[str], how: str = "inner", dense: int = DENSE, moments: DataFrame | None = None) -> DataFrame:
     """Events with the carried columns of the interval of their entity that holds ``at``: ``start`` <= ``at`` < ``end``.
 
     ``on`` maps event columns to the intervals' columns (equal and not NULL); ``at``, ``start`` and ``end`` are BIGINT; ``end`` NULL is open, ``start`` NULL no interval.
@@ -62,6 +62,7 @@ def interval_join(events: DataFrame, intervals: DataFrame, *, on: dict[str, str]
     Intervals are exploded into the time buckets they touch and equi-joined by entity and bucket. Buckets are as wide as the average interval, so the exploded table is about twice the
     intervals. Where an entity has more than ``dense`` intervals in a bucket, that bucket is replaced by 64 finer ones, down to 32 microseconds, so an event meets at most ``dense`` intervals
     that don't overlap, however many versions its entity has. A hot entity's events are dealt by bucket; adaptive execution splits what is still skewed.
+    The first and last moment of the events are asked for first: where they are long to compute give ``moments``, a table of one column that holds all of their moments.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how!r}")
@@ -72,7 +73,8 @@ def interval_join(events: DataFrame, intervals: DataFrame, *, on: dict[str, str]
     known = intervals.filter(present & start.isNotNull()).select(
         *[F.col(b).alias(k) for k, (_, b) in keys.items()], start.cast("bigint").alias("__ij_lo"), (end.cast("bigint") - 1).alias("__ij_hi"), *[F.col(c).alias(f"__ij_c{i}") for i, c in enumerate(carry)]
     )
-    ends = events.agg(F.min("__ij_at"), F.max("__ij_at")).first()
+    asked = (events.select("__ij_at") if moments is None else moments).toDF("t")
+    ends = asked.agg(F.min("t"), F.max("t")).first()
     first, last = ends[0], ends[1]
     carried = [F.col(f"__ij_c{i}").alias(c) for i, c in enumerate(carry)]
     if first is None:  # no event has a moment
@@ -105,7 +107,7 @@ def interval_join(events: DataFrame, intervals: DataFrame, *, on: dict[str, str]
     return reduce(DataFrame.unionByName, parts)
 
 
-def asof_join(events: DataFrame, changes: DataFrame, *, entity: str, event_at: str, change_entity: str, change_at: str, dense: int = DENSE, share: float = SHARE, least: int = LEAST, carry: Sequence[str] = (), tie: Sequence[str] = (), how: str = "inner") -> DataFrame:
+def asof_join(events: DataFrame, changes: DataFrame, *, entity: str, event_at: str, change_entity: str, change_at: str, dense: int = DENSE, share: float = SHARE, least: int = LEAST, carry: Sequence[str] = (), tie: Sequence[str] = (), how: str = "inner", moments: DataFrame | None = None) -> DataFrame:
     """Every event with what was known of its entity at that moment: events' columns, ``known_at``, the instant of the entity's latest change at or before it, and the ``carry`` columns of that change.
 
     Inner: events with NULL entity or instant, or before the entity's first change, have no row; ``how="left"`` keeps them with NULLs. Repeated
@@ -116,4 +118,4 @@ def asof_join(events: DataFrame, changes: DataFrame, *, entity: str, event_at: s
     if how == "inner":
         events = events.filter(F.col(entity).isNotNull() & F.col(event_at).isNotNull())
     known = validity_intervals(changes, change_entity, change_at, share, least, carry=carry, tie=tie).withColumn("known_at", F.col("from_us"))
-    return interval_join(events, known, on={entity: "entity"}, at=F.col(event_at), start=F.col("from_us"), end=F.col("to_us"), carry=["known_at", *carry], how=how, dense=dense)
+    return interval_join(events, known, on={entity: "entity"}, at=F.col(event_at), start=F.col("from_us"), end=F.col("to_us"), carry=["known_at", *carry], how=how, dense=dense, moments=moments)

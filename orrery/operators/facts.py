@@ -126,7 +126,7 @@ def missing_members(facts: DataFrame, dimension: DataFrame, natural: dict[str, s
     if not event_at:
         return unknown
     gaps = version_gaps(dimension, names)
-    inside = interval_join(events.filter("__at IS NOT NULL").distinct(), gaps, on={d: d for d in names}, at=_us(events, "__at"), start=F.col("__gap_from"), end=F.col("__gap_to"), carry=["__gap_from", "__until"])
+    inside = interval_join(events.filter("__at IS NOT NULL").distinct(), gaps, on={d: d for d in names}, at=_us(events, "__at"), start=F.col("__gap_from"), end=F.col("__gap_to"), carry=["__gap_from", "__until"], moments=events.select(_us(events, "__at")))
     early = inside.groupBy(*names, "__gap_from").agg(F.min("__at").alias("__first"), F.max("__until").alias("__until"))
     return early.select(*names, "__first", "__until").unionByName(unknown.withColumn("__until", F.lit(None).cast(early.schema["__until"].dataType)))
 

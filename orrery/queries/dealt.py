@@ -73,9 +73,9 @@ _EVENTS = f"SELECT DISTINCT order_id, customer_id, {sql_us('order_date')} AS at
 
 
 def _asof(spark, folder, *carry: str) -> DataFrame:
-    orders = table(spark, folder, "order_headers").select("order_id", "customer_id", instant_us(F.col("order_date")).alias("at")).distinct()
+    orders = table(spark, folder, "order_headers").select("order_id", "customer_id", instant_us(F.col("order_date")).alias("at"))
     changes = table(spark, folder, "customers").select("customer_id", instant_us(F.col("updated_at")).alias("us"), *carry, *(["_commit_version"] if carry else []))
-    return asof_join(orders, changes, entity="customer_id", event_at="at", change_entity="customer_id", change_at="us", carry=carry, tie=["_commit_version"] if carry else [])
+    return asof_join(orders.distinct(), changes, entity="customer_id", event_at="at", change_entity="customer_id", change_at="us", carry=carry, tie=["_commit_version"] if carry else [], moments=orders.select("at"))
 
 
 @query("p2_found", f"""

@@ -49,7 +49,7 @@ def revenue_by_segment_asof(spark, folder) -> DataFrame:
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount", us("l_shipdate").alias("shipped"))
     facts = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     valid = segments.withColumnRenamed("o_orderpriority", "segment")
-    joined = interval_join(facts, valid, on={"o_custkey": "o_custkey"}, at=F.col("shipped"), start=F.col("valid_from_us"), end=F.col("valid_to_us"), carry=["segment"], how="left")
+    joined = interval_join(facts, valid, on={"o_custkey": "o_custkey"}, at=F.col("shipped"), start=F.col("valid_from_us"), end=F.col("valid_to_us"), carry=["segment"], how="left", moments=lines.select("shipped"))
     price = F.col("l_extendedprice").cast("decimal(15,2)") * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)"))
     return joined.groupBy(F.coalesce("segment", F.lit("Not Yet Available")).alias("segment")).agg(F.count(F.lit(1)).alias("line_count"), F.sum(price).cast("decimal(38,4)").alias("revenue"))
 

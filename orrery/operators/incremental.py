@@ -59,8 +59,10 @@ class KeyHashState:
         return n
 
     def vacuum(self, keep: int = 2) -> None:
-        """Delete the folders of all but the newest ``keep`` versions; their markers stay."""
-        for n in range(1, self.version() - keep + 1):
+        """Delete the folders of all but the newest ``keep`` versions; their markers stay. Goes back until a version that is deleted already."""
+        for n in range(self.version() - keep, 0, -1):
+            if not self._fs.exists(self._path(f"{self.path}/{self._text(f'_live/{n}')}")):
+                break
             delete(self.spark, f"{self.path}/{self._text(f'_live/{n}')}")
 
     def _take_over(self, claim: str, marker: str, own: str) -> bool:
@@ -155,6 +157,7 @@ def incremental_run(state: KeyHashState, rows: DataFrame, content: list[str], or
     try:
         yield todo
         state.swap(merged_state(before, todo, state.keys), n)
+        state.vacuum()
     finally:
         delete(state.spark, path)
 

@@ -67,6 +67,8 @@ class SourceContract(Strict):
     mode: Literal["additive", "strict"] = "additive"
     rules: list[RuleSpec] = Field(default_factory=list)
     max_actions: int | None = None
+    #: share of the rows that rules on single rows look at; keys are always checked whole
+    sample: float = Field(1.0, gt=0, le=1)
     temporal: TemporalSpec | None = None
 
     @model_validator(mode="after")
@@ -186,6 +188,10 @@ class TableSpec(Strict):
     buckets: int = Field(16, ge=0, le=65_536)
     #: files to compact into once a run left more folders than so many; None never
     compact_files: int | None = None
+    #: versions to keep; older ones go once every reader of the feed is past them. None keeps all
+    retain_versions: int | None = Field(None, ge=1)
+    #: masks for those who read by ``Warehouse.read``; the table keeps the values
+    read_masks: list[MaskRule] = Field(default_factory=list)
     #: derived checks of the whole target after every run
     validate_target: bool = False
     depends_on: list[str] = Field(default_factory=list)

@@ -120,7 +120,14 @@ def contract_outcomes(source, df: DataFrame, label: str, schema_only: bool = Fal
     given = [Rule(r.name, r.kind, r.column, r.columns, r.values, r.sql, r.limit, r.severity) for r in c.rules]
     broken = {name for code, name in findings if code == "MISSING_COLUMN"}
     rules = [r for r in [*contract.rules(), *given] if not ({r.column, *r.columns} & broken)]
-    return out + [replace(o, rule=f"{label}.{o.rule}") for o in run_rules(df, rules, c.max_actions)]
+    if c.sample == 1:
+        found = run_rules(df, rules, c.max_actions)
+    else:  # the action budget is judged for all rules before the first is run
+        needed = sum(r.kind == "unique" for r in rules) + any(r.kind != "unique" for r in rules)
+        if c.max_actions is not None and needed > c.max_actions:
+            raise ValueError(f"the rules need {needed} actions, more than max_actions={c.max_actions}")
+        found = run_rules(df.sample(c.sample, seed=17), [r for r in rules if r.kind != "unique"]) + run_rules(df, [r for r in rules if r.kind == "unique"])
+    return out + [replace(o, rule=f"{label}.{o.rule}") for o in found]
 
 
 def compare(old: Contract, new: Contract) -> list[tuple[str, str, bool]]:

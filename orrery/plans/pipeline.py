@@ -218,6 +218,8 @@ class Warehouse:
             keep()
         if spec.compact_files is not None and (target := self.table(spec.table_name)).exists() and len(target.entry().folders()) > max(spec.compact_files, spec.buckets):
             target.compact(spec.compact_files)
+        if spec.retain_versions is not None:
+            self.vacuum(spec.table_name, spec.retain_versions)
         if spec.validate_target:
             run.warnings += dq.report(self.validate(spec, batch))["warn"]
         result.warnings = run.warnings
@@ -363,6 +365,20 @@ class Warehouse:
         self.evidence.record(spec.table_name, batch, outcomes)
         return outcomes
 
+    def vacuum(self, name: str, keep: int, older: float = 86_400.0) -> list[str]:
+        """Delete what only versions before the newest ``keep`` need, but nothing of versions that a reader of the table's feed has still to process (as the control table says)."""
+        table = self.table(name)
+        behind = [r["last_processed_version"] for (_, source), r in self.control.rows().items() if source == name]
+        latest = table.latest()
+        return table.vacuum(max(keep, *(latest - (v if v is not None else -1) for v in behind), 1), older)
+
+    def read(self, spec: TableSpec, view: bool = False) -> DataFrame:
+        """The table as its readers see it: with the definition's ``read_masks`` applied, as a temporary view of the table's name if asked for."""
+        rows = fd.mask_columns(self.table(spec.table_name).snapshot(), {m.column: m.model_dump() | {"secret": self.secrets.get(m.secret or "", m.secret or "")} for m in spec.read_masks})
+        if view:
+            rows.createOrReplaceTempView(spec.table_name)
+        return rows
+
     def monitor(self, specs: list[TableSpec]) -> dict[str, list[str]]:
         """Schema checks of every contracted source of many definitions, without running any: failed findings by table. All are kept as evidence, failed ones notified."""
         out, batch = {}, f"monitor-{uuid.uuid4().hex}"
@@ -516,6 +532,8 @@ class Warehouse:
         references = {f.column: [f.references, f.dimension_key] for f in spec.foreign_keys}
         about = {"description": spec.description, "pii": [m.column for m in spec.pii], "primary_key": [spec.surrogate_key] if spec.surrogate_key else spec.merge_keys, "foreign_keys": references}
         if table.exists():
+            if spec.buckets and not spec.append_only and (table.bucketing() or (None, 0))[1] != spec.buckets:
+                table.rebucket(spec.keys, spec.buckets)
             table.set_properties(**about)  # writes a version only if the definition says something else than the table
             return
         not_null = [*spec.keys, *([spec.surrogate_key] if spec.surrogate_key else []), *(f.column for f in spec.foreign_keys)]

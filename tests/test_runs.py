@@ -169,6 +169,36 @@ def test_metadata_that_the_sql_lost_is_taken_again(spark, warehouse):
         warehouse.dry_run(readings(transformation_sql="SELECT nothing_like_it FROM readings"))
 
 
+def test_masks_for_readers_samples_and_old_versions(warehouse):
+    land(warehouse, "readings", [(i, "north", "2024-05-02 00:00:00", 5.0, None) for i in range(60)], READINGS)
+    contract = {"rules": [{"name": "none", "kind": "expression", "sql": "kwh > 9", "severity": "warn"}, {"name": "once", "kind": "unique", "columns": ["meter"]}], "sample": 0.5}
+    spec = readings(contract=contract, read_masks=[{"column": "site", "method": "mask", "prefix": 1}], retain_versions=2)
+    warehouse.run(spec)
+    failed = {r["rule"]: r["failed"] for r in warehouse.table("etl_quality_events").snapshot().collect()}
+    assert 0 < failed["contract.readings.none"] < 60 and failed["contract.readings.once"] == 0
+    assert {r["site"] for r in warehouse.read(spec, view=True).filter("meter >= 0").collect()} == {"n**********"}
+    assert warehouse.spark.table("dim_meter").count() == 64 and warehouse.table("dim_meter").snapshot().filter("site = 'north'").count() == 60
+    warehouse.spark.catalog.dropTempView("dim_meter")
+    with pytest.raises(ValueError, match="need 2 actions"):
+        warehouse.run(readings(table_name="other", contract=contract | {"max_actions": 1}))
+    for n in range(3):
+        land(warehouse, "readings", [(n, f"s{n}", "2024-05-02 00:00:00", 5.0, None)], READINGS)
+        warehouse.run(spec)
+    target = warehouse.table("dim_meter")
+    assert len(target.versions()) == 2 and target.snapshot().count() == 64
+    # the source's feed is kept as far as its slowest reader is behind
+    warehouse.vacuum("readings", 1, older=0)
+    assert len(warehouse.table("readings").versions()) == 5  # the run that failed has read nothing yet
+    warehouse.control.reset("other")
+    warehouse.control.complete("slow", {"readings": 1})
+    warehouse.vacuum("readings", 1, older=0)
+    assert warehouse.table("readings").versions() == [2, 3, 4] and warehouse.table("readings").changes(2).count() == 3 and warehouse.table("readings").snapshot().count() == 63
+    # a definition with another number of buckets deals the table anew
+    land(warehouse, "readings", [(1, "zz", "2024-05-02 00:00:00", 5.0, None)], READINGS)
+    warehouse.run(spec.model_copy(update={"buckets": 2}))
+    assert target.bucketing() == (["meter"], 2) and target.snapshot().filter("site = 'zz'").count() == 1 and target.snapshot().count() == 64
+
+
 def test_retries():
     waits, tries = [], []
 

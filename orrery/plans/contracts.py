@@ -198,8 +198,8 @@ class Registry:
             self.table.create(_REGISTRY)
 
     def _add(self, *row: str) -> None:
-        df = self.spark.createDataFrame([(*row, time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()))], _REGISTRY).coalesce(1)
-        self.table.commit(df, append=True, operation="publish", expected=self.table.latest())
+        values = dict(zip(_REGISTRY.names, (*row, time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())), strict=True))
+        self.table.commit_rows([values], append=True, operation="publish", expected=self.table.latest())
 
     def find(self, kind: str, name: str | None = None) -> list[dict]:
         rows = self.table.snapshot().filter(F.col("kind") == kind)

@@ -31,16 +31,15 @@ class ControlTable:
             self.table.create(SCHEMA)
 
     def rows(self) -> dict[tuple[str, str], dict]:
-        return {(r["target_table"], r["source_table"]): r.asDict() for r in self.table.snapshot().collect()}
+        return {(r["target_table"], r["source_table"]): r for r in self.table.rows()}
 
     def _update(self, change) -> None:
         for n in range(self.retries):
             version = self.table.latest()
             rows = self.rows()
             change(rows)
-            df = self.spark.createDataFrame([tuple(r.get(f.name) for f in SCHEMA) for r in rows.values()], SCHEMA).coalesce(1)
             try:
-                self.table.commit(df, expected=version, operation="control")
+                self.table.commit_rows(list(rows.values()), expected=version, operation="control")
                 return
             except ConcurrentCommit:
                 if n + 1 == self.retries:

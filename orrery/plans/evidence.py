@@ -44,7 +44,7 @@ class Evidence:
                 there = {r[0] for r in sink.snapshot().filter(F.col("event_id").isin([r["event_id"] for r in rows])).select("event_id").collect()}
                 rows = [r for r in rows if r["event_id"] not in there]
             if rows:
-                sink.commit(self.spark.createDataFrame([tuple(r[f.name] for f in SCHEMA) for r in rows], SCHEMA).coalesce(1), append=True, operation="evidence")
+                sink.commit_rows(rows, append=True, operation="evidence")
             if self.notify and (bad := [r for r in rows if not r["ok"]]):
                 self.notify(bad)
             return True
@@ -87,14 +87,13 @@ class Checkpoints:
             self.table.create(self.SCHEMA)
 
     def save(self, pipeline: str, step: str, state: dict | None = None) -> None:
-        row = self.spark.createDataFrame([(pipeline, step, json.dumps(state or {}), time.time())], self.SCHEMA).coalesce(1)
-        self.table.commit(row, append=True, operation="checkpoint")
+        self.table.commit_rows([{"pipeline": pipeline, "step": step, "state": json.dumps(state or {}), "at": time.time()}], append=True, operation="checkpoint")
 
     def done(self, pipeline: str) -> dict[str, dict]:
-        rows = self.table.snapshot().filter(F.col("pipeline") == pipeline).groupBy("step").agg(F.max_by("state", "at").alias("state")).collect()  # a row per step
+        rows = sorted((r for r in self.table.rows() if r["pipeline"] == pipeline), key=lambda r: r["at"])  # a row per step of the pipelines under way
         return {r["step"]: json.loads(r["state"]) for r in rows}
 
     def forget(self, pipeline: str) -> None:
         """Take back what is recorded of a pipeline, once it is through."""
-        rest = self.table.snapshot().filter(F.col("pipeline") != pipeline)
-        self.table.commit(rest, operation="checkpoint", expected=self.table.latest())
+        version = self.table.latest()
+        self.table.commit_rows([r for r in self.table.rows(version) if r["pipeline"] != pipeline], operation="checkpoint", expected=version)

@@ -150,14 +150,16 @@ def plan_mixture(patterns: dict[tuple[str, ...], int], targets: list[Target], to
     flow = _Flow(2 + len(use) + len(named))
     source_at = {s: 2 + len(use) + i for i, s in enumerate(named)}
     arcs: dict[tuple[tuple[str, ...], str], list[int]] = {}
+    # an arc per repetition, but no more than a source's quota can fill: as costs rise the r-th is used only when those before it are full
+    quota = {s: max(0.0, t.weight) * total for s, t in named.items()}
     for i, (p, n) in enumerate(use.items()):
-        most = sum(max(0, named[s].max_repeats) for s in p)
-        for r in range(1, most + 1):
+        times = {s: min(max(0, named[s].max_repeats), int(quota[s] // n) + 1) for s in p}
+        for r in range(1, sum(times.values()) + 1):
             flow.arc(0, 2 + i, n, float(r) if len(p) > 1 else 0.0)
         for s in p:
-            arcs[p, s] = [flow.arc(2 + i, source_at[s], n, float(r)) for r in range(1, named[s].max_repeats + 1)]
-    for s, t in named.items():
-        flow.arc(source_at[s], 1, max(0.0, t.weight) * total, 0.0)
+            arcs[p, s] = [flow.arc(2 + i, source_at[s], n, float(r)) for r in range(1, times[s] + 1)]
+    for s in named:
+        flow.arc(source_at[s], 1, quota[s], 0.0)
     flow.run(0, 1, 1e-9 * max(total, 1.0))
     return {k: sum(flow.room[e ^ 1] for e in es) for k, es in arcs.items()}
 

@@ -43,6 +43,12 @@ def test_least_repetition_against_all_integer_plans():
         assert all(-1e-9 <= n <= sizes[p] * cap[s] + 1e-9 for (p, s), n in plan.items())
 
 
+def test_repetitions_beyond_the_quota_cost_nothing():
+    sizes = {("a",): 50, ("a", "b"): 30, ("b",): 20}
+    few, many = (plan_mixture(sizes, [Target("a", 0.6, r), Target("b", 0.4, r)], total=300.0) for r in (40, 10**9))
+    assert few == many and taken(many, "a") == pytest.approx(180) and taken(many, "b") == pytest.approx(120)
+
+
 def test_empty_and_odd():
     assert plan_mixture({}, []) == {}
     assert plan_mixture({(): 5, ("x",): 3}, [Target("a", 1.0, 2)]) == {}

@@ -42,16 +42,16 @@ def _descend(links: DataFrame, start: DataFrame, stride: int = STRIDE) -> DataFr
     execution splits (there is one row to match).
     """
     up = links.select("id", F.array("parent").alias("up"), F.col("parent").alias("far"))
-    known, more = 1, True
+    known, more, left = 1, True, -1
     while known < stride and more:
         step = up.select(F.col("id").alias("mid"), F.col("up").alias("on"), F.col("far").alias("beyond"))
         last = up
         # chains that met a start node are shorter than ``known`` and stay as they are
         farther = up.join(step, up["far"] == step["mid"], "left").select("id", F.when(F.col("on").isNull(), F.col("up")).otherwise(F.concat("up", "on")).alias("up"), F.coalesce("beyond", "far").alias("far"))
         grown = Observation()
-        up = cut(farther.observe(grown, F.max(F.size("up")).alias("n")), "ancestors")
+        up = cut(farther.observe(grown, F.max(F.size("up")).alias("n"), F.count(F.lit(1)).alias("rows")), "ancestors")
         drop_cut(last)
-        known, more = 2 * known, (grown.get["n"] or 0) == 2 * known
+        known, more, left = 2 * known, (grown.get["n"] or 0) == 2 * known, grown.get["rows"]
     levels = [start]
     while True:
         frontier = levels[-1].select(F.col("id").alias("above"), "root", "depth", F.col("path").alias("path"))
@@ -60,10 +60,11 @@ def _descend(links: DataFrame, start: DataFrame, stride: int = STRIDE) -> DataFr
             "id", "root", (F.col("depth") + F.size("up")).alias("depth"), F.concat_ws("/", "path", between, F.col("id").cast("string")).alias("path")
         )
         below, n = counted_cut(below, "level")
-        if not n:
-            drop_cut(below)
+        left -= n
+        if n:
+            levels.append(below)
+        if not n or not left:  # no node joins any more, or all have
             return reduce(DataFrame.unionByName, levels)
-        levels.append(below)
 
 
 def _on_loops(links: DataFrame) -> DataFrame:

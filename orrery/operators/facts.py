@@ -134,13 +134,14 @@ def missing_members(facts: DataFrame, dimension: DataFrame, natural: dict[str, s
 def skeletons(missing: DataFrame, dimension: DataFrame, natural: Sequence[str], sk: str, *, strategy: str = "xxhash64", versioned: bool = True, durable: str = "durable_key") -> DataFrame:
     """One inferred member per row of ``missing_members``, as rows of the dimension: typed placeholders, valid from its first event on until the member's next version starts; current only if none does. Dual-key dimensions get both keys and their fingerprints."""
     until = F.col("__until") if "__until" in missing.columns else F.lit(None)
+    kind = dimension.schema["__valid_to"].dataType if "__valid_to" in dimension.columns else T.StringType()
     key, dual = surrogate_key(list(natural), "__first" if versioned else None, strategy), {}
     if "row_fingerprint" in dimension.columns:
         first = missing.withColumn("__first", F.col("__first").cast(dimension.schema["__valid_from"].dataType))
         missing, made = first, dual_keys(list(natural), "__first", strategy)
         key = made["row_key"]
         dual = {durable: made["durable_key"], "durable_fingerprint": made["durable_fingerprint"], "row_fingerprint": made["row_fingerprint"]}
-    fixed = dual | {sk: key, "__valid_from": F.col("__first"), "__valid_to": F.coalesce(until.cast("string"), F.lit(VALID_TO)), "__is_current": until.isNull(), "__is_deleted": F.lit(False), "__is_skeleton": F.lit(True), "__member_status": F.lit("NOT_YET_AVAILABLE"), "__key_origin": F.lit("skeleton"), "hashdiff": F.lit(None)}
+    fixed = dual | {sk: key, "__valid_from": F.col("__first"), "__valid_to": F.coalesce(until.cast(kind), F.lit(VALID_TO).cast(kind)), "__is_current": until.isNull(), "__is_deleted": F.lit(False), "__is_skeleton": F.lit(True), "__member_status": F.lit("NOT_YET_AVAILABLE"), "__key_origin": F.lit("skeleton"), "hashdiff": F.lit(None)}
     columns = []
     for f in dimension.schema:
         value = F.col(f.name) if f.name in natural else fixed.get(f.name)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,10 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled documents used for training at most, chosen by hash, and pairs of them.
-MAX_LABELS, MAX_PAIRS = 5_000, 200_000
-#: Documents that languages are learned from, chosen by hash, and the cells that runs of characters are counted in.
-MAX_LANGUAGE_DOCUMENTS, CELLS = 5_000, 1 << 14
+#: Cells that runs of characters are counted in.
+CELLS = 1 << 14
 
 #: Frequent function words that the languages don't share.
 FUNCTION_WORDS = {
@@ -41,18 +38,18 @@ ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüýÿÁÀÂÄÃ
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|h[1-6])\b[^<>]{0,200}>", re.I)
 _LINE = re.compile(r"\n\s*(?=\S)")
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _ASCII_WORD = re.compile(r"[^\W\d_]+"), re.compile("[a-z]+")
 _END = re.compile(r"[.!?]+[\"')\]]*(?=\s|$)")
-_NO_END = re.compile(rf"\b(?:{ABBREVIATIONS})\.(?=\s|$)", re.I)
+# looks back from full stops, for looking for abbreviations at every character takes ten times as long
+_NO_END = re.compile(r"\.(?=\s|$)(?:" + "|".join(rf"(?<=\b{a}\.)" for a in ABBREVIATIONS.split("|")) + ")", re.I)
 _VOWELS = re.compile(r"[aeiouy]+")
 _PLAIN = str.maketrans(ACCENTED, PLAIN)
 _SETS = {lang: frozenset(listed.split()) for lang, listed in FUNCTION_WORDS.items()}
 _LANGUAGES = list(FUNCTION_WORDS)
-_SPEAKS_FOR = {w: [i for i, lang in enumerate(_LANGUAGES) if w in _SETS[lang]] for words in _SETS.values() for w in words}
 _CONNECTIVES = frozenset(CONNECTIVES.split())
 _PRONOUNS = frozenset(PRONOUNS.split())
-#: Columns of a word before its languages.
-_WORD_COLUMNS = 10
+#: Columns of a word before its languages, and features of a text.
+_WORD_COLUMNS, _FEATURES = 10, 13
 
 
 def _cells(word: str) -> list[int]:
@@ -61,6 +58,19 @@ def _cells(word: str) -> list[int]:
     return [zlib.crc32(w[i : i + 12]) % CELLS for i in range(0, len(w) - 8, 4)]
 
 
+def _words(text: str) -> list[str]:
+    """The lower-case words of a text."""
+    t = text.lower()
+    return (_ASCII_WORD if t.isascii() else _WORD).findall(t)
+
+
+def _folded(text: str) -> str:
+    """The text after compatibility folding, without invisible format characters and combining marks."""
+    t = unicodedata.normalize("NFKC", text)
+    dropped = [c for c in set(t) if c > "\x7f" and unicodedata.category(c) in ("Cf", "Mn")]
+    return t.translate(dict.fromkeys(map(ord, dropped))) if dropped else t
+
+
 @dataclass
 class LanguageModel:
     """Logarithms of how likely runs of three characters are in each of the languages of ``FUNCTION_WORDS``; a text is in the language that makes its words likeliest."""
@@ -81,20 +91,26 @@ def _word_row(word: str, languages: LanguageModel | None = None) -> list[float]:
     ]
 
 
+class _Numbers(dict):
+    """Numbers of words, given as they are first asked for; ``words`` lists them in that order."""
+
+    def __init__(self):
+        super().__init__()
+        self.words = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self.words)
+        self.words.append(word)
+        return n
+
+
 class Analyser:
     """Features of whole texts. What a word adds is computed once per word; texts are sums of rows of that table."""
 
     def __init__(self, remembered: int = 500_000, languages: LanguageModel | None = None):
-        self.remembered, self.languages, self.ids, self.rows = remembered, languages, {}, []
+        self.remembered, self.languages, self.ids = remembered, languages, _Numbers()
         self.table = np.empty((0, _WORD_COLUMNS + len(_LANGUAGES)), np.float64)
 
-    def _id(self, word: str) -> int:
-        n = self.ids.get(word)
-        if n is None:
-            n = self.ids[word] = len(self.rows)
-            self.rows.append(_word_row(word, self.languages))
-        return n
-
     def analyse(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(features, whether English, blank-separated words) of each text; a NULL text is like an empty one.
 
@@ -103,7 +119,7 @@ class Analyser:
         the ranker learns what to make of it.
         """
         if len(self.ids) > self.remembered:
-            self.ids, self.rows, self.table = {}, [], self.table[:0]
+            self.ids, self.table = _Numbers(), self.table[:0]
         found, lengths, other = [], [], []
         for t in texts:
             t = t or ""
@@ -111,17 +127,17 @@ class Analyser:
             if "<" in t:
                 t = _TAG.sub(" ", _BLOCK.sub("\n", t))
             if not t.isascii():
-                t = "".join(c for c in unicodedata.normalize("NFKC", t) if unicodedata.category(c) not in ("Cf", "Mn"))
-            ids = [self._id(w) for w in _WORD.findall(t.lower())]
-            found += ids
-            lengths.append(len(ids))
+                t = _folded(t)
+            before = len(found)
+            found += map(self.ids.__getitem__, _words(t))
+            lengths.append(len(found) - before)
             ends = len(_END.findall(t))
             ends = ends - len(_NO_END.findall(t)) if ends else 0
             if not ends and (lines := len(_LINE.findall(t.strip()))):
                 ends = lines + 1
             other.append((ends, t.count(",") + t.count(";") + t.count(":"), blank))
-        if len(self.table) < len(self.rows):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.float64)])
+        if new := self.ids.words[len(self.table) :]:
+            self.table = np.concatenate([self.table, np.array([_word_row(w, self.languages) for w in new], np.float64)])
         sums = np.zeros((len(texts), self.table.shape[1]))
         n = np.array(lengths, int)
         if found:
@@ -169,10 +185,56 @@ def isotonic(y: np.ndarray) -> np.ndarray:
     return np.repeat(means, sizes)
 
 
-def fit_ranker(x: np.ndarray, y: np.ndarray, *, seed: int = 17, max_pairs: int = MAX_PAIRS, penalty: float = 1e-2, rounds: int = 30) -> Ranker:
-    """Learn from pairs of documents with different levels, then calibrate.
+def _pair_sums(z: np.ndarray, y: np.ndarray, s: np.ndarray, *, width: float = 2.0, points: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Over all pairs of documents i, j with y[i] > y[j]: the sums of p d and of p (1 - p) d d', where d = z[i] - z[j] and p = 1 / (1 + exp(s[i] - s[j])).
 
-    Logistic loss on feature differences (the higher level should score higher), by Newton steps; at most ``max_pairs`` seeded pairs.
+    No pair is left out, nor are pairs visited one by one: p is smooth in both scores, so a document counts as weights on the Chebyshev ``points`` of its score's interval (which is exact to
+    rounding at this ``width``), and pairs of documents become pairs of points. Where points outnumber documents, the scores themselves are the points.
+    """
+    box, at = np.unique(np.floor(s / width), return_inverse=True)
+    middle = (box + 0.5) * width
+    if len(box) * points >= len(s):
+        at, middle, points = np.arange(len(s)), s, 1
+    angles, powers = (2 * np.arange(points) + 1) * np.pi / (2 * points), np.arange(points)
+    levels, level = np.unique(y, return_inverse=True)
+    order = np.lexsort((at, level))
+    starts = np.flatnonzero(np.diff(level[order], prepend=-1) | np.diff(at[order], prepend=-1))
+    groups = [order[i : min(i + 65_536, end)] for start, end in zip(starts, [*starts[1:], len(s)], strict=True) for i in range(start, end, 65_536)]
+
+    def weights(rows: np.ndarray) -> np.ndarray:
+        series = np.cos(np.arccos(np.clip((s[rows] - middle[at[rows[0]]]) * 2 / width, -1, 1))[:, None] * powers)
+        series[:, 0] = 0.5
+        return series @ np.cos(powers[:, None] * angles) * (2 / points)
+
+    # per level and point: documents and sums of their features
+    own = np.zeros((len(levels), len(middle), points, 1 + z.shape[1]))
+    for rows in groups:
+        own[level[rows[0]], at[rows[0]]] += weights(rows).T @ np.column_stack([np.ones(len(rows)), z[rows]])
+    own = own.reshape(len(levels), -1, 1 + z.shape[1])
+    below = np.cumsum(own, axis=0) - own
+    others = own.sum(axis=0) - own
+    at_points = (middle[:, None] + np.cos(angles) * width / 2).ravel()
+    first, second, near = np.zeros(z.shape[1]), np.zeros((z.shape[1],) * 2), np.empty(own.shape[:2])
+    step = max(1, (1 << 22) // len(at_points))
+    for i in range(0, len(at_points), step):
+        part = slice(i, i + step)
+        p = 1 / (1 + np.exp(np.clip(at_points[part, None] - at_points, -700, 700)))
+        q = p * (1 - p)
+        for k in range(len(levels)):
+            first += own[k, part, 1:].T @ (p @ below[k, :, 0]) - below[k, :, 1:].T @ (own[k, part, 0] @ p)
+            mixed = q @ others[k]
+            near[k, part] = mixed[:, 0]
+            second -= own[k, part, 1:].T @ mixed[:, 1:]
+    near = near.reshape(len(levels), len(middle), points)
+    for rows in groups:
+        second += z[rows].T @ (z[rows] * (weights(rows) @ near[level[rows[0]], at[rows[0]]])[:, None])
+    return first, second
+
+
+def fit_ranker(x: np.ndarray, y: np.ndarray, *, penalty: float = 1e-2, rounds: int = 30) -> Ranker:
+    """Learn from all pairs of documents with different levels, then calibrate.
+
+    Logistic loss on feature differences (the higher level should score higher), by Newton steps.
     Isotonic regression of level on score gives a level for every score; a level holds from the lowest score whose regression rounds to it.
     """
     if len(y) == 0:
@@ -180,15 +242,13 @@ def fit_ranker(x: np.ndarray, y: np.ndarray, *, seed: int = 17, max_pairs: int =
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = (x - mean) / scale
-    rng = np.random.default_rng(seed)
-    i, j = rng.integers(0, len(y), (2, max_pairs)) if len(y) ** 2 > max_pairs else np.divmod(np.arange(len(y) ** 2), len(y))
-    keep = y[i] > y[j]
-    d = z[i[keep]] - z[j[keep]]
+    sizes = np.unique(y, return_counts=True)[1].astype(float)
+    pairs = (sizes.sum() ** 2 - (sizes**2).sum()) / 2
     w = np.zeros(x.shape[1])
-    for _ in range(rounds if len(d) else 0):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        gradient = d.T @ p / len(d) - penalty * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + penalty * np.eye(len(w))
+    for _ in range(rounds if pairs else 0):
+        first, second = _pair_sums(z, y, z @ w)
+        gradient = first / pairs - penalty * w
+        hessian = second / pairs + penalty * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         w += step
         if np.abs(step).max() < 1e-8:
@@ -204,47 +264,70 @@ def fit_ranker(x: np.ndarray, y: np.ndarray, *, seed: int = 17, max_pairs: int =
     return Ranker(mean, scale, w, lowest, cuts)
 
 
-def _seed(texts: list[str | None]) -> list[int]:
-    """The language of each text, as a number, whose function words outnumber those of each other language twofold and are three at least; else -1."""
-    out = []
-    for t in texts:
-        counts = [0] * len(_LANGUAGES)
-        for w in _WORD.findall((t or "").lower()):
-            for lang in _SPEAKS_FOR.get(w, ()):
-                counts[lang] += 1
-        *_, second, most = sorted(counts)
-        out.append(counts.index(most) if most >= 3 and most >= 2 * second else -1)
-    return out
+class _Runs:
+    """Counts of runs of three characters, per language and cell, in texts whose function words speak clearly for the language: outnumber those of each other language twofold and are three at least."""
+
+    def __init__(self, remembered: int = 500_000):
+        self.remembered, self.counts = remembered, np.zeros((len(_LANGUAGES), CELLS), np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids, self.speaks, self.said = _Numbers(), np.empty((0, len(_LANGUAGES)), np.int32), np.zeros((len(_LANGUAGES), 0), np.int64)
+
+    def add(self, texts: list[str]) -> None:
+        found, lengths = [], []
+        for t in texts:
+            before = len(found)
+            found += map(self.ids.__getitem__, _words(_TAG.sub(" ", t) if "<" in t else t))
+            if len(found) > before:
+                lengths.append(len(found) - before)
+        if not found:
+            return
+        if new := self.ids.words[len(self.speaks) :]:
+            self.speaks = np.concatenate([self.speaks, np.array([[w in _SETS[lang] for lang in _LANGUAGES] for w in new], np.int32)])
+            self.said = np.pad(self.said, ((0, 0), (0, len(new))))
+        words, n = np.array(found), np.array(lengths)
+        spoken = np.add.reduceat(self.speaks[words], np.cumsum(n) - n, axis=0)
+        *_, second, most = np.sort(spoken, axis=1).T
+        lang = np.repeat(np.where((most >= 3) & (most >= 2 * second), spoken.argmax(axis=1), -1), n)
+        for i in range(len(_LANGUAGES)):
+            self.said[i] += np.bincount(words[lang == i], minlength=len(self.speaks))
+        if len(self.ids) > self.remembered:
+            self.total()
+
+    def total(self) -> np.ndarray:
+        """The counts so far; each word's runs are looked up once, not per occurrence."""
+        heard = np.flatnonzero(self.said.any(axis=0))
+        if len(heard):
+            cells = [_cells(self.ids.words[i]) for i in heard]
+            runs, words = np.concatenate(cells), np.repeat(heard, [len(c) for c in cells])
+            for i in range(len(_LANGUAGES)):
+                np.add.at(self.counts[i], runs, self.said[i, words])
+        self._forget()
+        return self.counts
 
 
-def fit_languages(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", max_documents: int = MAX_LANGUAGE_DOCUMENTS, smooth: float = 0.5) -> LanguageModel:
-    """Learn languages from about ``max_documents`` documents at most, chosen by hash.
+def fit_languages(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", max_documents: int | None = None, smooth: float = 0.5) -> LanguageModel:
+    """Learn languages from all documents that have a text. Only a caller who gives ``max_documents`` gets a model of about so many, chosen by hash.
 
     Texts whose function words speak clearly for one language are its examples; how often runs of three characters occur in them, counted where the texts are, is the model. It then judges
     every text by all its words. A language without examples is never the likeliest. Language labels play no part, for they may be wrong.
     """
-    n = documents.count()
-    picked = documents.filter(F.col(doc).isNotNull() & F.col(text).isNotNull())
-    if n > max_documents:
-        picked = picked.filter(F.pmod(F.xxhash64(F.col(doc), F.lit("language")), F.lit(1_000_000_000)) < F.lit(int(1_000_000_000 * max_documents / n)))
+    read = documents.filter(F.col(text).isNotNull())
+    if max_documents is not None and (n := documents.count()) > max_documents:
+        read = read.filter(F.pmod(F.xxhash64(F.col(doc), F.lit("language")), F.lit(1_000_000_000)) < F.lit(int(1_000_000_000 * max_documents / n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(_LANGUAGES), CELLS), np.int64)
+        runs = _Runs()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            said: list[Counter] = [Counter() for _ in _LANGUAGES]
-            for t, lang in zip(texts, _seed(texts), strict=True):
-                if lang >= 0:
-                    said[lang].update(_WORD.findall(_TAG.sub(" ", t).lower()))
-            for lang, words in enumerate(said):
-                for w, n in words.items():
-                    np.add.at(counts[lang], _cells(w), n)
+            runs.add(batch.column(0).to_pylist())
+        counts = runs.total()
         lang, cell = counts.nonzero()
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(cell, pa.int32()), pa.array(counts[lang, cell], pa.int64())], names=["lang", "cell", "n"])
 
     counts = np.zeros((len(_LANGUAGES), CELLS))
     # at most a row per language and cell
-    for r in picked.select(text).mapInArrow(run, "lang int, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect():
+    for r in read.select(text).mapInArrow(run, "lang int, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect():
         counts[r["lang"], r["cell"]] = r["n"]
     totals = counts.sum(axis=1, keepdims=True)
     logs = np.log((counts + smooth) / (totals + smooth * CELLS))
@@ -252,12 +335,9 @@ def fit_languages(documents: DataFrame, *, doc: str = "doc_id", text: str = "tex
     return LanguageModel(logs)
 
 
-def labelled_features(documents: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", level: str = "level", max_labels: int = MAX_LABELS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and levels of the labelled documents, at most ``max_labels``, chosen by hash. Labels that are NULL or of unknown documents are left out; of several labels of a document the largest counts."""
+def labelled_features(documents: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", level: str = "level") -> tuple[np.ndarray, np.ndarray]:
+    """Features and levels of all labelled documents: a dozen numbers for each go to the driver. Labels that are NULL or of unknown documents are left out; of several labels of a document the largest counts."""
     judged = labels.filter(F.col(doc).isNotNull() & F.col(level).isNotNull()).groupBy(F.col(doc).alias("__d")).agg(F.max(level).alias("__y"))
-    n = judged.count()
-    if n > max_labels:
-        judged = judged.filter(F.pmod(F.xxhash64("__d"), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_labels / n)))
     joined = documents.select(F.col(doc).alias("__k"), F.col(text).alias("__t")).join(judged, F.col("__k") == F.col("__d")).filter("__t IS NOT NULL").select("__k", "__y", "__t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,9 +347,9 @@ def labelled_features(documents: DataFrame, labels: DataFrame, *, doc: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["k", "y", "x"])
 
     schema = T.StructType([T.StructField("k", joined.schema["__k"].dataType), T.StructField("y", joined.schema["__y"].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    rows = joined.mapInArrow(run, schema).collect()  # about max_labels rows of a dozen numbers
-    rows.sort(key=lambda r: r["k"])
-    return np.array([r["x"] for r in rows], float).reshape(len(rows), -1), np.array([r["y"] for r in rows], int)
+    rows = joined.mapInArrow(run, schema).toArrow().sort_by("k")
+    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rows["x"].chunks] or [np.empty(0)])
+    return x.reshape(-1, _FEATURES), np.array(rows["y"].to_pylist(), int)
 
 
 def reading_levels(documents: DataFrame, ranker: Ranker, *, text: str = "text", keep: list[str] | None = None, languages: LanguageModel | None = None) -> DataFrame:

@@ -3,7 +3,7 @@ import os
 import numpy as np
 import pytest
 
-from orrery.llm.reading import Analyser, fit_languages, fit_ranker, isotonic, labelled_features, reading_levels
+from orrery.llm.reading import CELLS, Analyser, _cells, _pair_sums, _Runs, fit_languages, fit_ranker, isotonic, labelled_features, reading_levels
 
 
 def test_isotonic_is_the_closest_monotone_sequence():
@@ -72,6 +72,59 @@ def test_learned_languages(spark):
     assert Analyser(languages=fit_languages(docs.limit(0))).analyse(["the box"])[1].tolist() == [False]
 
 
+def test_languages_are_learned_from_all_documents(spark):
+    """Every document's runs count, however many there are, whether or not it has an id."""
+    docs = spark.range(12_000).selectExpr("IF(id = 7, NULL, id) AS doc_id", "concat('the box of and is wet', CASE id % 6000 WHEN 7 THEN ' quixotic' ELSE '' END) AS text")
+    counts = np.zeros(CELLS)
+    for word, n in [*((w, 12_000) for w in "the box of and is wet".split()), ("quixotic", 2)]:
+        np.add.at(counts, _cells(word), n)
+    assert np.allclose(fit_languages(docs).logs[0], np.log((counts + 0.5) / (counts.sum() + 0.5 * CELLS)))
+
+
+def test_forgetting_words_loses_no_runs():
+    texts = [f"the box of and is wet {'x' * (i % 13)} word{i}" if i % 2 else f"der die das und ist {'y' * (i % 7)}" for i in range(300)]
+    whole, part = _Runs(), _Runs(remembered=3)
+    whole.add(texts)
+    for t in texts:
+        part.add([t])
+    want = whole.total().copy()
+    assert (part.total() == want).all() and want[0].any() and want[1].any() and not want[2:].any()
+    assert (whole.total() == want).all()  # asked again, nothing counts twice
+
+
+def test_sums_over_all_pairs():
+    """Against sums taken pair by pair, for scores close together, far apart and equal."""
+    rng = np.random.default_rng(5)
+    for n, spread in ((20, 1.0), (900, 0.0), (900, 0.5), (900, 4.0), (900, 1000.0)):
+        z, y = rng.normal(size=(n, 4)), rng.integers(1, 4, n)
+        s = z @ rng.normal(size=4) * spread
+        i, j = np.nonzero(y[:, None] > y)
+        d, p = z[i] - z[j], 1 / (1 + np.exp(np.clip(s[i] - s[j], -700, 700)))
+        first, second = _pair_sums(z, y, s)
+        assert np.allclose(first, d.T @ p, rtol=1e-10, atol=1e-10 * len(d)) and np.allclose(second, (d * (p * (1 - p))[:, None]).T @ d, rtol=1e-10, atol=1e-10 * len(d))
+
+
+def test_ranker_learns_from_all_pairs():
+    """With more than 200,000 pairs, too, the weights are where the loss over all of them is least."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(800, 3))
+    y = np.clip(np.round(2 + x[:, 0] + rng.normal(0, 0.7, 800)), 1, 3).astype(int)
+    model = fit_ranker(x, y)
+    z = (x - model.mean) / model.scale
+    i, j = np.nonzero(y[:, None] > y)
+    d = z[i] - z[j]
+    assert len(d) > 150_000 and np.abs(d.T @ (1 / (1 + np.exp(d @ model.weights))) / len(d) - 1e-2 * model.weights).max() < 1e-7
+
+
+def test_all_labelled_documents_are_used(spark):
+    docs = spark.range(6_000).selectExpr("id AS doc_id", "concat('The box ', id, ' is wet.') AS text")
+    labels = spark.range(5_999, -1, -1).selectExpr("id AS doc_id", "CAST(id % 3 + 1 AS INT) AS level")
+    x, y = labelled_features(docs, labels)
+    assert len(x) == 6_000 and y.tolist() == [i % 3 + 1 for i in range(6_000)]
+    x, y = labelled_features(docs, labels.limit(0))
+    assert x.shape == (0, 13) and len(y) == 0
+
+
 def test_levels_of_odd_tables(spark):
     easy, hard = "It is wet. I sit.", "Notwithstanding considerable documentation, instrumentation deteriorated."
     model = fit_ranker(Analyser().analyse([easy, hard])[0], np.array([1, 3]))
